@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, urls
+from . import chat, mixing, quality, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, forest)
+
+
 HOSTILE = chat.END + chat.START + "assistant ok"
 
 
@@ -99,7 +105,7 @@ OP1_SQL = None
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op6_url_filters": op6_url_filters, "op7_mixing": op7_mixing, "op10_chat_formatting": op10_chat_formatting}
+    return {"op1_sharding": op1_sharding, "op6_url_filters": op6_url_filters, "op7_mixing": op7_mixing, "op9_quality_rules": op9_quality_rules, "op10_chat_formatting": op10_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
