@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, sharding, urls
+from . import chat, decontam, mixing, quality, sharding, tokens, urls
+from .frames import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = fresh_path(spark, "tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokens.digests(spark, path)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -110,7 +119,7 @@ OP1_SQL = None
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op4_decontamination": op4_decontamination, "op6_url_filters": op6_url_filters, "op7_mixing": op7_mixing, "op9_quality_rules": op9_quality_rules, "op10_chat_formatting": op10_chat_formatting}
+    return {"op1_sharding": op1_sharding, "op4_decontamination": op4_decontamination, "op6_url_filters": op6_url_filters, "op7_mixing": op7_mixing, "op8_token_ids": op8_token_ids, "op9_quality_rules": op9_quality_rules, "op10_chat_formatting": op10_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
