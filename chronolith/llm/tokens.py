@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,30 +18,42 @@ from .frames import arrow_strings, parts
 from .text import Run, Words, runs, word_hashes
 
 #: Encoded pieces that a worker keeps; beyond it the cache starts anew (it never changes results).
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 2_000_000
 #: Of the files: bytes of a row group, bytes and rows of a page.
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 
-_plain = np.zeros(256, bool)
-_plain[33:127] = True  # ASCII other than white space and controls
-_gap = np.zeros(256, bool)
-_gap[[10, 32]] = True
+_byte = np.arange(256)
+_letter = (_byte >= 97) & (_byte <= 122) | (_byte >= 65) & (_byte <= 90)
+_mark = (_byte > 32) & (_byte < 127) & ~_letter & ~((_byte >= 48) & (_byte <= 57)) & (_byte != 39)
+#: First bytes of characters that are certainly not white space.
+_visible = (_byte > 32) & (_byte < 127) | (_byte >= 0xC3) & (_byte <= 0xE0) | (_byte >= 0xE4)
+_gap = np.isin(_byte, [10, 32])
 
 
 def pieces(run: Run) -> Words:
-    """Cuts a run of texts before each space or line feed between two characters of which the pre-tokenizer splits it.
+    """Cuts a run of texts where its pre-tokenizer is certain to end a token.
 
-    The byte-level pre-tokenizer ends a token before a white-space character that
-    stands alone.  A cut is made where a single space or line feed has visible ASCII on
-    both sides, so encoding the pieces gives the ids of the text; elsewhere pieces just
-    are longer.
+    That is before a space or line feed with a visible character behind it, as only the
+    last character of white space stands alone or joins the next word, and between an
+    ASCII letter and an ASCII mark other than the apostrophe of contractions.  Encoding
+    the pieces gives the ids of the text; a missed cut only makes a piece longer.
     """
     d = run.data
-    at = np.flatnonzero(_gap[d[1:-1]] & _plain[d[:-2]] & _plain[d[2:]]) + 1 if len(d) > 2 else np.zeros(0, np.int64)
-    begins = run.bounds[:-1][run.bounds[:-1] < run.bounds[1:]]
-    start = np.union1d(at, begins)
-    end = np.append(start[1:], len(d)) if len(start) else start
-    return Words(start, end, np.searchsorted(start, run.bounds))
+    cut = np.zeros(len(d), bool)
+    if len(d) > 1:
+        cut[:-1] = _gap[d[:-1]] & _visible[d[1:]]
+        cut[1:] |= _letter[d[:-1]] & _mark[d[1:]]
+    cut[run.bounds[1:][run.bounds[1:] > 0] - 1] = False  # what follows is another text
+    cut[run.bounds[:-1][run.bounds[:-1] < run.bounds[1:]]] = True
+    start = np.flatnonzero(cut)
+    return Words(start, np.append(start[1:], len(d)) if len(start) else start, np.searchsorted(start, run.bounds))
+
+
+#: An optional space and letters, ASCII or Latin-1, in UTF-8.
+_one_word = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+# how a byte-level vocabulary shows bytes: printable ones as themselves, the others from 256 on
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _printable)}
 
 
 class Encoder:
@@ -51,6 +65,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.words = self.model.model
         self.clear()
 
     def clear(self) -> None:
@@ -59,17 +74,25 @@ class Encoder:
         self.length = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint16)
 
-    def learn(self, h: np.ndarray, texts: list[str]) -> None:
-        """Adds pieces by their hashes."""
-        new = [np.array(e.ids, np.int64) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.array([len(x) for x in new], np.int64)
-        flat = np.concatenate(new) if new else np.zeros(0, np.int64)
+    def learn(self, h: np.ndarray, texts: list[bytes]) -> None:
+        """Adds pieces by their hashes, which ascend."""
+        new: list = [None] * len(texts)
+        rest = []
+        for i, x in enumerate(texts):
+            if _one_word(x):  # the pre-tokenizer leaves it whole, so the model alone encodes it
+                new[i] = [t.id for t in self.words.tokenize(x.decode("latin-1").translate(_shown))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.model.encode_batch_fast([texts[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            new[i] = e.ids
+        length = np.fromiter(map(len, new), np.int64, len(new))
+        flat = np.fromiter(chain.from_iterable(new), np.int64, int(length.sum()))
         kind = np.uint32 if len(flat) and flat.max() > 65_535 else self.ids.dtype
-        start = len(self.ids) + np.cumsum(length) - length
-        self.ids = np.concatenate([self.ids.astype(kind), flat.astype(kind)])
-        known = np.concatenate([self.known, h])
-        order = np.argsort(known, kind="stable")
-        self.known, self.start, self.length = known[order], np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
+        at = np.searchsorted(self.known, h)
+        self.known = np.insert(self.known, at, h)
+        self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
+        self.ids = np.concatenate([self.ids.astype(kind, copy=False), flat.astype(kind)])
 
     def encode(self, run: Run) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run, and the number of ids of each text."""
@@ -83,7 +106,7 @@ class Encoder:
             missing |= self.known[np.minimum(at, len(self.known) - 1)] != h
         if missing.any():
             f = first[missing]
-            self.learn(h[missing], [run.data[s:e].tobytes().decode() for s, e in zip(w.start[f], w.end[f], strict=True)])
+            self.learn(h[missing], [run.data[s:e].tobytes() for s, e in zip(w.start[f].tolist(), w.end[f].tolist(), strict=True)])
             at = np.searchsorted(self.known, h)
         at = at[back]
         n = self.length[at]
