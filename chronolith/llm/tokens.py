@@ -54,6 +54,7 @@ _one_word = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fu
 # how a byte-level vocabulary shows bytes: printable ones as themselves, the others from 256 on
 _printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _printable)}
+_shown_space = chr(_shown[32])
 
 
 class Encoder:
@@ -80,7 +81,9 @@ class Encoder:
         rest = []
         for i, x in enumerate(texts):
             if _one_word(x):  # the pre-tokenizer leaves it whole, so the model alone encodes it
-                new[i] = [t.id for t in self.words.tokenize(x.decode("latin-1").translate(_shown))]
+                shown = x.decode("latin-1")
+                shown = shown.replace(" ", _shown_space) if x.isascii() else shown.translate(_shown)
+                new[i] = [t.id for t in self.words.tokenize(shown)]
             else:
                 rest.append(i)
         for i, e in zip(rest, self.model.encode_batch_fast([texts[i].decode() for i in rest], add_special_tokens=False), strict=True):
