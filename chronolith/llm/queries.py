@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, sharding, tokens, urls
+from . import chat, decontam, mixing, ngrams, quality, sharding, tokens, urls
 from .frames import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -119,7 +123,7 @@ OP1_SQL = None
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op4_decontamination": op4_decontamination, "op6_url_filters": op6_url_filters, "op7_mixing": op7_mixing, "op8_token_ids": op8_token_ids, "op9_quality_rules": op9_quality_rules, "op10_chat_formatting": op10_chat_formatting}
+    return {"op1_sharding": op1_sharding, "op2_ngram_jaccard": op2_ngram_jaccard, "op4_decontamination": op4_decontamination, "op6_url_filters": op6_url_filters, "op7_mixing": op7_mixing, "op8_token_ids": op8_token_ids, "op9_quality_rules": op9_quality_rules, "op10_chat_formatting": op10_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -135,7 +135,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def sequence_hash(h: np.ndarray) -> np.ndarray:
     """Hash of a whole word sequence shorter than a window, in a value space of its own by length."""
-    out = U(len(h)) * MIX_B
-    for x in h:
-        out = mix(np.array([out + x * BASE], np.uint64))[0]
-    return out
+    out = np.array([len(h)], np.uint64) * MIX_B
+    for i in range(len(h)):
+        out = mix(out + h[i : i + 1] * BASE)
+    return out[0]
