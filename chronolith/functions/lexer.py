@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import registry as R
-from ..schema import shape
+from ..schema import SHAPE
 
 _OPERATORS = re.compile(r"\?(?!:)|&&|\|\|")
 _FIELDS = ("total", "code", "comment", "blank", "comments", "decisions", "depth", "funcs", "suppressed", "complexity")
@@ -184,7 +184,7 @@ def shape_of(rel: str, content: bytes | None, language: str | None) -> dict[str,
 
 def scan(files: DataFrame, rel: str = "rel", content: str = "content", language: str = "language") -> DataFrame:
     """Shapes of all files (rel, content, language): one Arrow pass without a shuffle; filter languages before it."""
-    schema = shape()
+    schema = SHAPE
 
 
     arrow = to_arrow_schema(schema)

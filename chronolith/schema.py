@@ -4,27 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType()}
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def struct(**fields: str | T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, _KINDS[v] if isinstance(v, str) else v) for k, v in fields.items()])
 
-COMMIT_DDL = (
-    "seq LONG, hash STRING, author STRING, email STRING, date STRING, merge BOOLEAN, subject STRING, "
-    "files ARRAY<STRUCT<path: STRING, old_path: STRING, add: INT, del: INT, binary: BOOLEAN, rename: BOOLEAN>>"
-)
-FILE_DDL = "rel STRING, size LONG, mtime_ns LONG, language STRING, test BOOLEAN, vendor BOOLEAN, generated BOOLEAN, skip STRING"
-DEBT_DDL = "ARRAY<STRUCT<line: INT, marker: STRING, text: STRING, weight: INT>>"
-SHAPE_DDL = (
-    "rel STRING, language STRING, skip STRING, total INT, code INT, comment INT, blank INT, comments INT, decisions INT, depth INT, "
-    f"funcs INT, suppressed INT, complexity INT, bytes LONG, debt {DEBT_DDL}, imports ARRAY<STRING>, error STRING"
-)
-MANIFEST_DDL = "file STRING, kind STRING, name STRING, is_dev BOOLEAN"
 
-
-def commit() -> T.StructType:
-    return _schema(COMMIT_DDL)
-
-
-def shape() -> T.StructType:
-    return _schema(SHAPE_DDL)
+CHANGE = struct(path="string", old_path="string", add="int", **{"del": "int"}, binary="boolean", rename="boolean")
+COMMIT = struct(seq="long", hash="string", author="string", email="string", date="string", merge="boolean", subject="string", files=T.ArrayType(CHANGE))
+DEBT = struct(line="int", marker="string", text="string", weight="int")
+SHAPE = struct(
+    rel="string", language="string", skip="string", total="int", code="int", comment="int", blank="int", comments="int", decisions="int", depth="int",
+    funcs="int", suppressed="int", complexity="int", bytes="long", debt=T.ArrayType(DEBT), imports=T.ArrayType(T.StringType()), error="string",
+)
+FILE = struct(rel="string", size="long", mtime_ns="long", language="string", test="boolean", vendor="boolean", generated="boolean", skip="string")
+MANIFEST = struct(file="string", kind="string", name="string", is_dev="boolean")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.history import _lines, prepare
-from ..schema import commit
+from ..schema import COMMIT
 
 _SUMS = ("commits", "adds", "dels")
 
@@ -44,7 +44,7 @@ def follow(spark: SparkSession, source: str, state: str, checkpoint: str, once:
     batch that is run again replaces itself and nothing is counted twice.  Late and
     unordered commits merge by minima and maxima; no watermark drops any.
     """
-    stream = spark.readStream.schema(commit()).json(source)
+    stream = spark.readStream.schema(COMMIT).json(source)
 
     def fold(batch: DataFrame, number: int) -> None:
         partial(prepare(batch)[1]).write.mode("overwrite").parquet(_state_path(state, number))
