@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, ngrams, quality, sharding, tokens, urls
+from . import chat, decontam, licenses, lines, mixing, ngrams, quality, sharding, tokens, urls
 from .frames import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,51 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    shown = F.transform("matches", lambda m: F.concat_ws(":", m["segment"].cast("string"), m["license"], F.format_string("%.6f", m["dice"])))
+    return out.select("doc_id", "n_segments", F.size("matches").cast("long").alias("n_matches"), F.array_join(shown, ";").alias("matches"))
+
+
+def _op3_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES.items())
+    bigrams = """CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"""
+    words = """list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+    return f"""
+WITH t(license, body) AS (VALUES {values}), tw AS (SELECT license, {words.format('body')} AS w FROM t), tb AS (SELECT license, {bigrams} AS b FROM tw),
+d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+s AS (
+  SELECT doc_id, 0 AS i, text AS seg FROM d WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, unnest(range(1, len(l) + 1)), unnest(l) FROM d WHERE len(l) > 1
+), sw AS (SELECT doc_id, i, {words.format('seg')} AS w FROM s), sb AS (SELECT doc_id, i, {bigrams} AS b FROM sw WHERE len(w) > 0),
+m AS (SELECT doc_id, i, license, 2.0 * len(list_intersect(sb.b, tb.b)) / (len(sb.b) + len(tb.b)) AS dice FROM sb, tb WHERE len(sb.b) <= 1.5 * len(tb.b) AND len(tb.b) <= 1.5 * len(sb.b)),
+k AS (SELECT doc_id, i, license, dice FROM m WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY dice DESC, license) = 1),
+a AS (SELECT doc_id, count(*) AS n, string_agg(i || ':' || license || ':' || printf('%.6f', dice), ';' ORDER BY i) AS x FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 WHEN len(l) > 1 THEN len(l) + 1 ELSE 1 END AS BIGINT) AS n_segments, coalesce(n, 0) AS n_matches, coalesce(x, '') AS matches
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"), min_sites=10)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
+), n AS (SELECT *, regexp_replace(line, '^[	-
+ ]+|[	-
+ ]+$', '', 'g') AS t FROM l),
+b AS (SELECT t FROM n WHERE t <> '' GROUP BY t HAVING count(DISTINCT coalesce('=' || source, '')) >= 10),
+a AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (t IN (SELECT t FROM b)) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (t NOT IN (SELECT t FROM b)), '') AS kept
+  FROM n GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(kept) END AS text_sha256 FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
 URL_RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -119,12 +164,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-OP1_SQL = None
-
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op2_ngram_jaccard": op2_ngram_jaccard, "op4_decontamination": op4_decontamination, "op6_url_filters": op6_url_filters, "op7_mixing": op7_mixing, "op8_token_ids": op8_token_ids, "op9_quality_rules": op9_quality_rules, "op10_chat_formatting": op10_chat_formatting}
+    return {"op1_sharding": op1_sharding, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_license_scan": op3_license_scan, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_url_filters": op6_url_filters, "op7_mixing": op7_mixing, "op8_token_ids": op8_token_ids, "op9_quality_rules": op9_quality_rules, "op10_chat_formatting": op10_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op3_license_scan": _op3_sql(), "op5_line_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op10_chat_formatting": OP10_SQL}
