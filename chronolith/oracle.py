@@ -158,7 +158,7 @@ rs AS (
     (SELECT path FROM kn WHERE path = spec), (SELECT path FROM kn WHERE path = substr(spec, 1, 4)),
     (SELECT path FROM kn WHERE path = substr(spec, 1, 3)), (SELECT path FROM kn WHERE path = lower(substr(spec, 1, 3)))) AS target
   FROM sp
-), cleaned AS (SELECT regexp_replace(regexp_replace(spec, '^package:', ''), '^node:', '') AS x FROM rs WHERE target IS NULL),
+), cleaned AS (SELECT regexp_replace(regexp_replace(regexp_replace(spec, '^/+', ''), '^package:', ''), '^node:', '') AS x FROM rs WHERE target IS NULL),
 named AS (
   SELECT CASE WHEN x LIKE '@%' THEN array_to_string(string_split(x, '/')[1:2], '/')
     WHEN regexp_extract(x, '^([^/:]*)', 1) = '' OR (NOT regexp_matches(x, '[@/.:]') AND NOT regexp_matches(x, '^[a-zA-Z][a-zA-Z0-9_-]*$')) THEN NULL

@@ -378,7 +378,8 @@ def resolve_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _externals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.externals(_resolved(spark, sf_dir))
+    """Packages of unresolved links, seen from the root."""
+    return graph.externals(_resolved(spark, sf_dir).withColumn("spec", F.regexp_replace("spec", "^/+", "")))
 
 
 @query
