@@ -82,39 +82,27 @@ def ordered(df: DataFrame, keys: Sequence[Column], weight: str) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected links, as (node, component): the smallest node of each.
 
-    Each round every node hooks on to its smallest neighbour, the forest is flattened
-    by pointer jumping, and links shrink to those between different roots.  Neighbour
-    minima combine before the shuffle; the other joins are plain equi-joins of written
-    tables, whose skewed partitions adaptive execution splits.  Nothing is collected;
-    rounds grow with the logarithm of the longest chain.
+    Each round every node moves to the smallest neighbour of its smallest neighbour, and
+    links shrink to those between different nodes that are left.  Neighbour minima combine
+    before the shuffle; the other joins are plain equi-joins of written tables, whose
+    skewed partitions adaptive execution splits.  Nothing is collected; each round at
+    least halves the nodes of every component that has links.
     """
     links = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     found: DataFrame | None = None
     while not links.isEmpty():
-        least = links.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m")), F.struct(F.col("v").alias("n"), F.col("u").alias("m")))).alias("x")).groupBy("x.n").agg(F.min("x.m").alias("m"))
-        up = cut(least.select("n", F.least("n", "m").alias("p")))
-        while True:
-            q = up.select(F.col("n").alias("p"), F.col("p").alias("g"))
-            up = cut(up.join(q, "p").select("n", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")))
-            moved = not up.where("moved").isEmpty()
-            up = up.select("n", "p")
-            if not moved:
-                break
-        if found is None:
-            found = up
-        else:
-            q = up.select(F.col("n").alias("p"), F.col("p").alias("g"))
-            found = cut(found.join(q, "p", "left").select("n", F.coalesce("g", "p").alias("p")))
-        links = cut(links.join(up.select(F.col("n").alias("u"), F.col("p").alias("pu")), "u").join(up.select(F.col("n").alias("v"), F.col("p").alias("pv")), "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+        ends = F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m")), F.struct(F.col("v").alias("n"), F.col("u").alias("m"))))
+        up = cut(links.select(ends.alias("x")).groupBy("x.n").agg(F.min("x.m").alias("m")).select("n", F.least("n", "m").alias("p")))
+        up = cut(up.join(up.select(F.col("n").alias("p"), F.col("p").alias("g")), "p").select("n", F.col("g").alias("p")))
+        to = up.select(F.col("n").alias("p"), F.col("p").alias("g"))
+        found = up if found is None else cut(found.join(to, "p", "left").select("n", F.coalesce("g", "p").alias("p")))
+        moved = links.join(up.select(F.col("n").alias("u"), F.col("p").alias("pu")), "u").join(up.select(F.col("n").alias("v"), F.col("p").alias("pv")), "v")
+        links = cut(moved.where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
     if found is None:
         kind = edges.schema[a].dataType
         return edges.sparkSession.createDataFrame([], T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))
     return found.select(F.col("n").alias("node"), F.col("p").alias("component"))
 
 
-def as_text(name: str) -> Column:
-    return F.col(name).cast("string")
-
-
 def arrow_strings(b: pa.RecordBatch, name: str) -> pa.Array:
     return pc.cast(b.column(name), pa.large_string())

@@ -5,9 +5,10 @@ the product are n-grams in one global order, frequent ones last; a pair that lin
 share one of the first n - ceil(0.8 n) + 1 n-grams of either set, so only those prefix
 columns are multiplied.  Each short column adds to the overlap counts of its pairs, and
 pairs whose prefix overlap plus what may follow stays below the overlap that their
-sizes ask for are dropped; the others are counted in full.  Long columns belong to
-dense groups; a group's sets are brought together in blocks of bounded size, each
-block pair is multiplied at once, and only a spanning forest of its links leaves.
+sizes ask for are dropped; the others are counted in full.  Documents of
+a long column are tied together instead.  Candidates and ties make groups; a group's
+sets are brought together in blocks of bounded size, each block pair is multiplied at
+once, and only a spanning forest of its links leaves.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ from .text import MIX_A, NON_SPACE, Run, U, mix, runs, sequence_hash, window_has
 #: Words of an n-gram, and the similarity that links, as a fraction.
 N, TOP, BOTTOM = 5, 4, 5
 #: Counters of the frequency sketch (a fixed size, whatever the input), and chunks that it travels in.
-SKETCH, CHUNKS = 1 << 20, 32
+SKETCH, CHUNKS = 1 << 21, 32
 #: Documents of a short column at most; documents and bytes of sets of a block.
-SHORT, BLOCK_DOCS, BLOCK_BYTES = 64, 400, 16 << 20
+SHORT, BLOCK_DOCS, BLOCK_BYTES = 128, 1500, 24 << 20
+#: Bytes that an n-gram has in a set on its way to be counted.
+WIDTH = 6
+#: Bits of the bitmap of documents whose sets are counted in full, as a power of two (8 MB).
+MARK_BITS = 26
 _HALF = U(1 << 63)
 
 
@@ -118,7 +123,7 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, order: np.ndarray) -> DataFrame:
-    """(h, k, n, i) for the n-gram at place i of the prefix of each document of docs (k, text)."""
+    """(k, n, p) of each document of docs (k, text) with words: its prefix in the global order, 8 bytes an n-gram."""
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,19 +132,34 @@ def prefixes(docs: DataFrame, order: np.ndarray) -> DataFrame:
                 g, bounds = shingle_sets(run, held.value)
                 n = np.diff(bounds)
                 size = np.where(n > 0, n - -(-TOP * n // BOTTOM) + 1, 0)
-                text = np.repeat(np.arange(len(n)), size)
-                i = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-                k = b.column("k").slice(run.first, len(n)).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(g[bounds[text] + i].view(np.int64)), pa.array(k[text]), pa.array(n[text], pa.int32()), pa.array(i, pa.int32())], names=["h", "k", "n", "i"])
+                p = [g[x : x + m].tobytes() for x, m in zip(bounds[:-1], size, strict=True)]
+                rows = pa.RecordBatch.from_arrays([b.column("k").slice(run.first, len(n)), pa.array(n, pa.int32()), pa.array(p, pa.binary())], names=["k", "n", "p"])
+                yield rows.filter(pa.array(n > 0))
 
-    return docs.mapInArrow(go, "h long, k long, n int, i int")
+    return docs.mapInArrow(go, "k long, n int, p binary")
+
+
+def entries(packed: DataFrame) -> DataFrame:
+    """(h, k, n, i): the n-gram at place i of each prefix."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                p = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("p")]
+                size = np.array([len(x) for x in p])
+                row = np.repeat(np.arange(len(p)), size)
+                i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)), part.column("k").take(pa.array(row)), part.column("n").take(pa.array(row)), pa.array(i, pa.int32())], names=["h", "k", "n", "i"])
+
+    return packed.select("k", "n", "p").mapInArrow(go, "h long, k long, n int, i int")
 
 
 _PAIRS = "a long, b long, na int, nb int, c long, ra int, rb int"
 _PAIR_NAMES = ["a", "b", "na", "nb", "c", "ra", "rb"]
 
 
-def columns_to_pairs(entries: DataFrame) -> DataFrame:
+def columns_to_pairs(rows: DataFrame) -> DataFrame:
     """Multiplies sorted columns: pair rows of short columns, and rows (hub, document, sizes, 0, ...) that tie the documents of a long one."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +186,7 @@ def columns_to_pairs(entries: DataFrame) -> DataFrame:
                 held = [x[:0] for x in held]
         yield from _multiply(*held)
 
-    return entries.repartition("h").sortWithinPartitions("h", "n", "k").mapInArrow(go, _PAIRS)
+    return rows.repartition("h").sortWithinPartitions("h", "n", "k").mapInArrow(go, _PAIRS)
 
 
 def _tied(hub: int, k: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -212,19 +232,55 @@ def _summed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ra: np
     yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(na[first], pa.int32()), pa.array(nb[first], pa.int32()), pa.array(c, pa.int64()), pa.array(np.minimum.reduceat(ra, first), pa.int32()), pa.array(np.minimum.reduceat(rb, first), pa.int32())], names=_PAIR_NAMES)
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """(k, s): the sorted n-gram hashes of each document of docs (k, text), 8 bytes each."""
+def mark(k: np.ndarray) -> np.ndarray:
+    return (mix(k.view(np.uint64)) >> U(64 - MARK_BITS)).astype(np.int64)
+
+
+def marks(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of keys (k); its size is fixed, so it says no for sure and yes perhaps."""
+    width = (1 << MARK_BITS) // CHUNKS
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = mark(b.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(m // width), pa.array(m % width)], names=["chunk", "bit"])
+
+    def fill(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(width, bool)
+        for pdf in batches:
+            bits[pdf["bit"].to_numpy()] = True
+        yield pd.DataFrame({"chunk": [int(key[0])], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    out = np.zeros((CHUNKS, width // 8), np.uint8)
+    for r in keys.select("k").mapInArrow(hashed, "chunk long, bit long").distinct().groupBy("chunk").applyInPandas(fill, "chunk long, bits binary").collect():
+        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def sets_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(k, s): the n-gram set, WIDTH bytes of each hash, of the documents of docs (k, text) that the bitmap marks, and of few others."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            m = mark(b.column("k").to_numpy())
+            b = b.filter(pa.array((held.value[m >> 3] >> (7 - (m & 7)).astype(np.uint8)) & 1 == 1))
             for run in runs(arrow_strings(b, "text")):
                 g, bounds = shingle_sets(run)
-                s = [g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                short = g.view(np.uint8).reshape(-1, 8)[:, :WIDTH]
+                s = [short[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("k").slice(run.first, len(s)), pa.array(s, pa.binary())], names=["k", "s"])
 
     return docs.mapInArrow(go, "k long, s binary")
 
 
+def unpack(s: bytes) -> np.ndarray:
+    """The distinct values of a set; two of one document are the same with a chance of n * n in 2 ** (8 * WIDTH + 1)."""
+    out = np.zeros((len(s) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(s, np.uint8).reshape(-1, WIDTH)
+    return np.unique(out.view(np.uint64).ravel())
+
+
 def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
 
@@ -232,7 +288,7 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                p, q = (unpack(z.as_py()) for z in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(BOTTOM * both >= TOP * (len(p) + len(q) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -241,19 +297,29 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(go, "a long, b long")
 
 
-def block_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) inside dense groups (node, component): a spanning forest of each block pair's links."""
-    sized = cut(groups.select(F.col("node").alias("k"), F.col("component").alias("g")).join(sets, "k").select("k", "g", "s"))
-    blocks = sized.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("s")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    blocks = cut(blocks)
-    placed = sized.join(small(blocks, blocks.count()), "g").withColumn("x", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+def blocked(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """members (k, g, n) with the number of blocks of their group and whether its blocks are multiplied as a whole.
+
+    That holds for groups with ties and for those of one block; the pairs of other
+    groups are few against their blocks and are counted one by one.
+    """
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.col("n") * WIDTH) / BLOCK_BYTES)).cast("int")
+    groups = members.groupBy("g").agg(size.alias("blocks"))
+    groups = cut(groups.join(tied.select("g", F.lit(True).alias("tied")), "g", "left").select("g", "blocks", (F.col("tied").isNotNull() | (F.col("blocks") == 1)).alias("whole")))
+    return members.join(small(groups, groups.count()), "g").select("k", "g", "blocks", "whole")
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) inside groups (k, g, blocks): a spanning forest of each block pair's links."""
+    placed = members.withColumn("x", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).join(sets, "k")
     placed = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "k", "s")
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", ignore_index=True)
         side = (pdf["x"] != pdf["i"]).to_numpy()
         cross = bool((pdf["i"] != pdf["j"]).iloc[0])
-        a, b = _product(pdf["k"].to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf["s"]], side, cross)
+        a, b = _product(pdf["k"].to_numpy(), [unpack(s) for s in pdf["s"]], side, cross)
         return pd.DataFrame({"a": a, "b": b})
 
     return placed.groupBy("g", "i", "j").applyInPandas(go, "a long, b long")
@@ -323,14 +389,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = cut(rows.where("n > 0 and k is not null").groupBy("n", "f1", "f2").agg(F.min("k").alias("rep")))
     nodes = cut(rows.join(classes, ["n", "f1", "f2"], "left").select("k", "n", F.coalesce("rep", "k").alias("rep")))
     others = nodes.where("k <> rep").select("k").distinct()
-    first = slim.where("k is not null").join(others, "k", "left_anti")
-    made = columns_to_pairs(prefixes(first, order)).groupBy("a", "b", (F.col("na") == 0).alias("tie")).agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"), F.min("ra").alias("ra"), F.min("rb").alias("rb"))
-    made = cut(made.where(f"tie or c + least(ra, rb) >= ceil({TOP} * (na + nb) / {TOP + BOTTOM})").select("a", "b", "tie"))
-    pairs = made.where("not tie").select("a", "b")
-    groups = components(made.where("tie"), "a", "b")
-    members = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).union(groups.select(F.col("node").alias("k"))).distinct())
-    sets = cut(sets_of(slim.join(members, "k", "left_semi")))
-    links = linked_pairs(pairs, sets).union(block_links(groups, sets))
+    have_key = slim.where("k is not null")
+    packed = prefixes(have_key, order).join(others, "k", "left_anti")
+    made = columns_to_pairs(entries(packed)).groupBy("a", "b", (F.col("na") == 0).alias("tie")).agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"), F.min("ra").alias("ra"), F.min("rb").alias("rb"))
+    # what lies behind the prefix that ends first, or behind the last shared n-gram, may be shared as a whole
+    behind = f"least(ra, rb, greatest(({TOP} * na + {BOTTOM - 1}) div {BOTTOM}, ({TOP} * nb + {BOTTOM - 1}) div {BOTTOM}) - 1)"
+    made = cut(made.where(f"tie or c + {behind} >= ceil({TOP} * (na + nb) / {TOP + BOTTOM})").select("a", "b", "tie"))
+    groups = components(made, "a", "b").select(F.col("node").alias("k"), F.col("component").alias("g"))
+    tied = made.where("tie").join(groups.withColumnRenamed("k", "a"), "a").select("g").distinct()
+    sizes = nodes.groupBy("k").agg(F.max("n").alias("n"))
+    members = cut(blocked(groups.join(sizes, "k"), tied))
+    sets = sets_of(have_key, marks(members))
+    apart = members.where("not whole").select(F.col("k").alias("a"))
+    pairs = made.where("not tie").join(apart, "a", "left_semi").select("a", "b")
+    links = block_links(members.where("whole"), sets).union(linked_pairs(pairs, sets))
     found = components(links, "a", "b")
     out = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component", "rep")).cast(docs.schema[key].dataType).alias("component_id"))
