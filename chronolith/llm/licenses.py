@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -68,7 +69,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     known = [(name, _template_bigrams(t)) for name, t in sorted(templates.items())]
     known = [(name, b) for name, b in known if b]
     ratio = least / (2 - least)
-    fewest = min((len(b) for _, b in known), default=1 << 30) * ratio
+    # whole numbers of bigrams, so that rounding drops no template at the bounds
+    span = {len(b): (math.ceil(len(b) * ratio - 1e-9), math.floor(len(b) / ratio + 1e-9)) for _, b in known}
+    fewest = min((lo for lo, _ in span.values()), default=1)
     lines = F.split(F.col(text), "\n", -1)
     segments = F.when(F.col(text).isNull(), F.array().cast("array<string>")).when(F.size(lines) > 1, F.concat(F.array(F.col(text)), lines)).otherwise(F.array(F.col(text)))
     cast = "array<struct<segment:int,license:string,dice:double>>"
@@ -80,7 +83,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
         best = []
         n = F.size(seg["b"])
         for i, (name, b) in enumerate(known):
-            fits = (n >= len(b) * ratio) & (n <= len(b) / ratio)
+            fits = n.between(*span[len(b)])
             both = F.size(F.array_intersect(seg["b"], F.array(*map(F.lit, b))))
             dice = F.when(fits, 2.0 * both / (n + len(b)))
             best.append(F.struct(dice.alias("dice"), F.lit(-i).alias("i"), F.lit(name).alias("license")))
@@ -88,8 +91,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
         return F.struct(seg["i"].alias("segment"), top["license"].alias("license"), top["dice"].alias("dice"))
 
     # a text of few characters has too few words; this spares most lines the split into words
-    long_enough = F.transform(segments, lambda s, i: F.struct(i.alias("i"), F.when(F.length(s) >= 2 * fewest, normal_words(s)).alias("w")))
-    with_words = F.filter(long_enough, lambda x: F.size(x["w"]) >= F.lit(max(1.0, fewest)))
+    long_enough = F.transform(segments, lambda s, i: F.struct(i.alias("i"), F.when(F.length(s) >= 2 * fewest - 1, normal_words(s)).alias("w")))
+    with_words = F.filter(long_enough, lambda x: F.size(x["w"]) >= max(1, fewest))
     sets = F.transform(with_words, lambda x: F.struct(x["i"].alias("i"), bigrams(x["w"]).alias("b")))
     found = F.filter(F.transform(sets, compare), lambda m: m["dice"].isNotNull())
     return docs.select(F.col(key).alias(key), F.size(segments).cast("long").alias("n_segments"), found.cast(cast).alias("matches"))
