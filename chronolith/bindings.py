@@ -76,15 +76,11 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst")).distinct()
 
 
-def event_edges(spark: SparkSession, sf_dir: str, nodes: int | None = 60, first: int = 450) -> DataFrame:
-    """Edges between user and `k` of error events, folded to `nodes` nodes for a sparse graph."""
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from the user to `k` of every error event."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
     k = F.get_json_object("props", "$.k").cast("long")
-    src, dst = F.col("user_id"), k
-    if nodes:
-        e = e.where(F.col("event_id") < first)
-        src, dst = src % nodes, dst % nodes
-    return e.select(src.alias("src"), dst.alias("dst")).where("src <> dst").distinct()
+    return e.select(F.col("user_id").alias("src"), k.alias("dst")).where("src <> dst").distinct()
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,7 +331,7 @@ def least_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def edges_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.event_edges(spark, sf_dir, nodes=None)
+    return B.event_edges(spark, sf_dir)
 
 
 @query
