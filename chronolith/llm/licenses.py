@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,20 +17,25 @@ TEMPLATES = {
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "MIT notice": "Released under the MIT License.",
-    "MIT": (
+    "MIT permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
         "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
         "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
         "included in all copies or substantial portions of the Software."
     ),
-    "ISC": (
+    "ISC permission": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and "
         "this permission notice appear in all copies."
     ),
-    "Apache-2.0 header": (
+    "Apache-2.0 header start": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0"
     ),
+    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    # whole texts and headers, by file name
+    **{f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))},
 }
 
 
