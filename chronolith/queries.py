@@ -133,8 +133,7 @@ def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = B.changes(spark, sf_dir).where("day < 9300")
-    s = B.shapes(spark, sf_dir).join(history.file_history(late).select(F.col("path").alias("rel"), "commits"), "rel", "left").withColumn("commits", F.coalesce("commits", F.lit(0)))
+    s = B.shapes(spark, sf_dir).join(history.file_history(B.changes(spark, sf_dir)).select(F.col("path").alias("rel"), "commits"), "rel", "left").withColumn("commits", F.coalesce("commits", F.lit(0)))
     return rankings.orphans(s).select("rel", "code")
 
 

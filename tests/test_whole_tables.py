@@ -37,3 +37,13 @@ def test_cycles_of_all_events(spark, tmp_path):
     assert len(got) == len(want) and {(x.component, x.node) for x in got} == want
     groups = Q.queries()["cycle_vs_cluster"](spark, str(tmp_path)).collect()
     assert {x.component: x.members for x in groups} == {c: ",".join(str(n) for n in sorted(m for d, m in want if d == c)) for c, _ in want}
+
+
+def test_orphans_of_all_days(spark, tmp_path):
+    days = {1: "1995-01-05", 2: "2001-03-04"}
+    orders = [(k, k, "F", 1.0, d, "1-URGENT") for k, d in days.items()]
+    o = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, d string, o_orderpriority string")
+    o.selectExpr("* except (d)", "cast(d as timestamp) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, 1, 1, 2.0), (2, 2, 1, 1, 2.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "p", "b", "t", 5, 1.0) for k in (1, 2, 3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert [(x.rel, x.code) for x in Q.queries()["orphan_files"](spark, str(tmp_path)).collect()] == [("3", 50)]
