@@ -15,14 +15,20 @@ from pyspark.sql import types as T
 
 #: Rows of a broadcast side at most; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 10_000
+#: Links that one task joins up at most.
+LAST_LINKS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which all executors share; a local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of `spark.checkpoint.dir`, which all executors share.
+
+    Where it is unset, a folder of its own on a local master, as in tests; a cluster has to name one.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at is None:
-        held = spark.sparkContext.getCheckpointDir()
-        at = held or tempfile.mkdtemp(prefix="chronolith-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="chronolith-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -39,6 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The same rows as a Parquet table in the shared folder.
+
+    Unlike a checkpoint it carries neither size estimates nor constraints of the plan that made
+    it, which multiply from round to round of an iteration.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,30 +96,77 @@ def ordered(df: DataFrame, keys: Sequence[Column], weight: str) -> DataFrame:
     return held.join(F.broadcast(bases), "part").select(*df.columns, (F.col("ord") + F.col("n0")).alias("ord"), (F.col("before") + F.col("w0")).alias("before"))
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, last: int = LAST_LINKS, report: list[int] | None = None) -> DataFrame:
     """Connected components of undirected links, as (node, component): the smallest node of each.
 
-    Each round every node moves to the smallest neighbour of its smallest neighbour, and
-    links shrink to those between different nodes that are left.  Neighbour minima combine
-    before the shuffle; the other joins are plain equi-joins of written tables, whose
-    skewed partitions adaptive execution splits.  Nothing is collected; each round at
-    least halves the nodes of every component that has links.
+    Every round deals out new ranks by a hash of the node and the round.  A node moves to its
+    neighbour of the lowest rank, if that is below its own, and on to where that one moves;
+    links shrink to those between different nodes that are left.  As ranks are new each round,
+    a fixed share of the nodes goes on the average whatever the form and the order of ids of
+    the graph, and the rounds grow with the logarithm of the nodes (a test counts them).  A
+    round writes two tables, which also keeps the plans of late rounds as small as those of the
+    first.  Neighbour minima combine before the shuffle; the other joins are equi-joins of
+    written tables, whose skewed partitions adaptive execution splits.  Once at most `last`
+    links are left (a fixed number, whatever the input) one task joins them up.
+
+    Null ends and links of a node with itself say nothing; no links give no rows.  `report`
+    receives the number of links before each round.
     """
-    links = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    found: DataFrame | None = None
-    while not links.isEmpty():
-        ends = F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m")), F.struct(F.col("v").alias("n"), F.col("u").alias("m"))))
-        up = cut(links.select(ends.alias("x")).groupBy("x.n").agg(F.min("x.m").alias("m")).select("n", F.least("n", "m").alias("p")))
-        up = cut(up.join(up.select(F.col("n").alias("p"), F.col("p").alias("g")), "p").select("n", F.col("g").alias("p")))
-        to = up.select(F.col("n").alias("p"), F.col("p").alias("g"))
-        found = up if found is None else cut(found.join(to, "p", "left").select("n", F.coalesce("g", "p").alias("p")))
-        moved = links.join(up.select(F.col("n").alias("u"), F.col("p").alias("pu")), "u").join(up.select(F.col("n").alias("v"), F.col("p").alias("pv")), "v")
-        links = cut(moved.where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
-    if found is None:
-        kind = edges.schema[a].dataType
-        return edges.sparkSession.createDataFrame([], T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))
-    return found.select(F.col("n").alias("node"), F.col("p").alias("component"))
-
-
+    kind = edges.schema[a].dataType
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).cast(kind).alias("v")).where("u <> v")
+    links = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    moves: list[DataFrame] = []
+    while (left := links.count()) > last:
+        if report is not None:
+            report.append(left)
+        rank = F.lit(len(moves))
+        both = links.select("u", "v").union(links.select("v", "u")).toDF("n", "m")
+        low = both.groupBy("n").agg(F.min(F.struct(F.xxhash64("m", rank).alias("r"), F.col("m").alias("p"))).alias("low"))
+        up = low.select("n", F.least("low", F.struct(F.xxhash64("n", rank).alias("r"), F.col("n").alias("p")))["p"].alias("p"))
+        up = written(up.join(up.select(F.col("n").alias("p"), F.col("p").alias("g")), "p").select("n", F.col("g").alias("p")), "moves")
+        moves.append(up)
+        moved = links.join(up.select(F.col("n").alias("u"), F.col("p").alias("pu")), "u").join(up.select(F.col("n").alias("v"), F.col("p").alias("pv")), "v").where("pu <> pv")
+        links = written(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "links")
+    found = _joined_up(links)
+    for up in reversed(moves):
+        found = _followed(up, found)
+    # every node of a link is a row of `found`; p only names its component
+    return found.join(found.groupBy("p").agg(F.min("n").alias("component")), "p").select(F.col("n").alias("node"), "component")
+
+
+def _followed(up: DataFrame, later: DataFrame) -> DataFrame:
+    """Where each node of a round's moves (n, p) is in the end, by the places (n, p) of the nodes of later rounds."""
+    to = later.select(F.col("n").alias("p"), F.col("p").alias("g"))
+    return up.join(to, "p", "left").select("n", F.coalesce("g", "p").alias("p"))
+
+
+def _joined_up(links: DataFrame) -> DataFrame:
+    """(n, p) of every node of at most LAST_LINKS links: the smallest node that links reach."""
+    schema = T.StructType([T.StructField(c, links.schema["u"].dataType) for c in ("n", "p")])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [pa.concat_arrays([x.column(j) for x in held]) for j in (0, 1)] if (held := [b for b in batches if b.num_rows]) else None
+        if both is None:
+            return
+        kind = both[0].type
+        names, at = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False) for x in both]), return_inverse=True)
+        low = lowest_labels(len(names), *np.split(at.ravel(), 2))
+        yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(names[low], kind)], names=["n", "p"])
+
+    return links.coalesce(1).mapInArrow(go, schema)
+
+
+def lowest_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0 to n - 1 the smallest that the links (u, v) reach; every pass halves the distance at least."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for end in (u, v, label[u], label[v]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 def arrow_strings(b: pa.RecordBatch, name: str) -> pa.Array:
     return pc.cast(b.column(name), pa.large_string())
