@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def no_clash(names: Iterable[str], own: Iterable[str]) -> None:
+    """Raises a ValueError if a column that is asked for has the name of one that the operator adds."""
+    if both := {n.lower() for n in names} & {n.lower() for n in own}:
+        raise ValueError(f"columns named like the operator's own have to be renamed first: {', '.join(sorted(both))}")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,11 +10,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import arrow_strings, parts
+from .frames import arrow_strings, no_clash, parts
 from .text import Run, Words, runs, word_hashes
 
 #: Encoded pieces that a worker keeps; beyond it the cache starts anew (it never changes results).
@@ -30,22 +30,29 @@ _visible = (_byte > 32) & (_byte < 127) | (_byte >= 0xC3) & (_byte <= 0xE0) | (_
 _gap = np.isin(_byte, [10, 32])
 
 
-def pieces(run: Run) -> Words:
+def pieces(run: Run, added: Words | None = None) -> Words:
     """Cuts a run of texts where its pre-tokenizer is certain to end a token.
 
     That is before a space or line feed with a visible character behind it, as only the
     last character of white space stands alone or joins the next word, and between an
     ASCII letter and an ASCII mark other than the apostrophe of contractions.  Encoding
-    the pieces gives the ids of the text; a missed cut only makes a piece longer.
+    the pieces gives the ids of the text; a missed cut only makes a piece longer.  The spans
+    `added` (of added tokens, which split a text before the pre-tokenizer sees it) are pieces
+    as they are, and white space before one ends its part of the text.
     """
     d = run.data
-    cut = np.zeros(len(d), bool)
+    cut = np.zeros(len(d) + 1, bool)
     if len(d) > 1:
-        cut[:-1] = _gap[d[:-1]] & _visible[d[1:]]
-        cut[1:] |= _letter[d[:-1]] & _mark[d[1:]]
+        cut[: len(d) - 1] = _gap[d[:-1]] & _visible[d[1:]]
+        cut[1 : len(d)] |= _letter[d[:-1]] & _mark[d[1:]]
     cut[run.bounds[1:][run.bounds[1:] > 0] - 1] = False  # what follows is another text
+    if added is not None:
+        cut[np.maximum(added.start - 1, 0)] &= ~_gap[d[np.maximum(added.start - 1, 0)]]
+        inside = np.cumsum(np.bincount(added.start, minlength=len(cut)) - np.bincount(added.end, minlength=len(cut))) > 0
+        cut &= ~inside
+        cut[added.start] = cut[added.end] = True
     cut[run.bounds[:-1][run.bounds[:-1] < run.bounds[1:]]] = True
-    start = np.flatnonzero(cut)
+    start = np.flatnonzero(cut[: len(d)])
     return Words(start, np.append(start[1:], len(d)) if len(start) else start, np.searchsorted(start, run.bounds))
 
 
@@ -58,17 +65,48 @@ _shown_space = chr(_shown[32])
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file; each distinct piece is encoded once while the cache holds it."""
+    """Ids of whole texts by a tokenizers file; each distinct piece is encoded once while the cache holds it.
+
+    Added tokens of the file (special ones too) found in a text get their own ids, as the
+    library gives them.  Where one of them takes white space along, asks for whole words or is
+    sought in normalised text, a text with its string is encoded as one piece.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = self.model.model
+        tokens = [t for t in self.model.get_added_tokens_decoder().values() if t.content]
+        self.added = {t.content.encode() for t in tokens}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or (t.normalized and self.model.normalizer is not None) for t in tokens)
+        # the leftmost match wins, of several there the longest
+        self.find = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))).finditer if tokens else None
+        self.folded = [x.decode().lower() for x in self.added]
         self.clear()
 
+    def spans(self, run: Run) -> Words | None:
+        """The spans of a run that stand for added tokens, or are texts to be encoded as one piece."""
+        if self.find is None:
+            return None
+        data = run.data.tobytes()
+        at: list[tuple[int, int]] = []
+        if self.plain:
+            if next(self.find(data), None) is None:
+                return None
+            for lo, hi in zip(run.bounds[:-1].tolist(), run.bounds[1:].tolist(), strict=True):
+                at += [m.span() for m in self.find(data, lo, hi)]
+        else:
+            for lo, hi in zip(run.bounds[:-1].tolist(), run.bounds[1:].tolist(), strict=True):
+                text = data[lo:hi].decode().lower()
+                if any(x in text for x in self.folded):
+                    at.append((lo, hi))
+        if not at:
+            return None
+        start, end = np.array(at, np.int64).T
+        return Words(start, end, run.bounds)
+
     def clear(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.start = np.zeros(0, np.int64)
@@ -80,7 +118,7 @@ class Encoder:
         new: list = [None] * len(texts)
         rest = []
         for i, x in enumerate(texts):
-            if _one_word(x):  # the pre-tokenizer leaves it whole, so the model alone encodes it
+            if x not in self.added and _one_word(x):  # the pre-tokenizer leaves it whole, so the model alone encodes it
                 shown = x.decode("latin-1")
                 shown = shown.replace(" ", _shown_space) if x.isascii() else shown.translate(_shown)
                 new[i] = [t.id for t in self.words.tokenize(shown)]
@@ -99,7 +137,7 @@ class Encoder:
 
     def encode(self, run: Run) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run, and the number of ids of each text."""
-        w = pieces(run)
+        w = pieces(run, self.spans(run))
         h, first, back = np.unique(word_hashes(run, w, fold=False), return_index=True, return_inverse=True)
         if len(self.known) + len(h) > CACHE_PIECES:
             self.clear()
@@ -128,15 +166,18 @@ def encoder(path: str) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
-    """Encodes every whole text, appends end_id and writes Parquet files (part, before, key, tokens) in ascending key order.
+    """Encodes every whole text, appends end_id and writes Parquet files (part, before, n_tokens, key, tokens) in ascending key order.
 
     Rows are dealt out by range of the key and sorted; file and row order are the order of
     the keys (nulls first, rows of one key in the order of a hash of their text).  A
     null text is empty and so has end_id alone.  Tokens are delta or dictionary
     encoded, row groups and pages are small, and page indexes are written, so that a
-    reader of some keys or of the metadata alone skips the rest.
+    reader of some keys or of the metadata alone skips the rest.  Other columns are left
+    alone; a key named like a column of the files is a ValueError.  An empty table gives
+    files without rows.
     """
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField(key, docs.schema[key].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType(), False))])
+    no_clash([key], ["part", "before", "n_tokens", "tokens", "start", "ids_crc32"])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField(key, docs.schema[key].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType(), False))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -150,7 +191,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
                 bounds = np.concatenate([[0], np.cumsum(n + 1)])
                 rows = run.last - run.first
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part), pa.int32()), pa.array(seen + bounds[:-1], pa.int64()), b.column("k").slice(run.first, rows), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part), pa.int32()), pa.array(seen + bounds[:-1], pa.int64()), pa.array(n + 1, pa.int64()), b.column("k").slice(run.first, rows), lists], names=schema.names)
                 seen += int(bounds[-1])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
@@ -170,21 +211,35 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
     out.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", keys: tuple[int, int] | None = None) -> DataFrame:
     """key, start (ids of all documents before), n_tokens and tokens, from the files alone.
 
-    Starts come from each row's place in its file (before: ids ahead of it there) and the files' totals.
+    Starts come from each row's place in its file (before: ids ahead of it there) and the
+    files' totals.  With `keys`, a first and a last key, only rows between them are read: the files
+    are in key order, so row groups and pages of other keys are skipped by their statistics.
     """
-    files = spark.read.parquet(path)
-    return _with_starts(files, F.size("tokens").cast("long")).select(key, "start", "n_tokens", "tokens")
+    return _chosen(_with_starts(spark.read.parquet(path), _bases(spark, path)), key, keys).select(key, "start", "n_tokens", "tokens")
+
+
+def read_sizes(spark: SparkSession, path: str, key: str = "doc_id", keys: tuple[int, int] | None = None) -> DataFrame:
+    """key, start and n_tokens; no list of tokens is read."""
+    return _chosen(_with_starts(spark.read.parquet(path), _bases(spark, path)), key, keys).select(key, "start", "n_tokens")
 
 
-def _with_starts(files: DataFrame, n_tokens: Column) -> DataFrame:
-    """files with start and n_tokens: the row's place in its file plus the sizes of the files before."""
-    last = files.select("part", (F.col("before") + n_tokens).alias("end")).groupBy("part").agg(F.max("end").alias("total"))
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = last.select("part", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("base"))  # a row a file
-    return files.withColumn("n_tokens", n_tokens).join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("before"))
+def _chosen(rows: DataFrame, key: str, keys: tuple[int, int] | None) -> DataFrame:
+    return rows if keys is None else rows.where(F.col(key).between(*keys))
+
+
+def _bases(spark: SparkSession, path: str) -> DataFrame:
+    """(file, base): how many ids the files before hold; a row a file, from two small columns."""
+    last = spark.read.parquet(path).groupBy(F.col("part").alias("file")).agg(F.max(F.col("before") + F.col("n_tokens")).alias("total"))
+    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select("file", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("base"))
+
+
+def _with_starts(files: DataFrame, bases: DataFrame) -> DataFrame:
+    """files with start: the row's place in its file plus the sizes of the files before."""
+    return files.join(F.broadcast(bases), F.col("part") == F.col("file")).withColumn("start", F.col("base") + F.col("before"))
 
 
 def digests(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -201,5 +256,4 @@ def digests(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
             crc = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("start"), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
 
-    return _with_starts(spark.read.parquet(path), F.size("tokens").cast("long")).select(key, "start", "tokens").mapInArrow(check, schema)
-
+    return read_tokens(spark, path, key).select(key, "start", "tokens").mapInArrow(check, schema)
