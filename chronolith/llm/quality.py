@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import arrow_strings
+from .frames import arrow_strings, no_clash
 from .text import MIX_B, NON_SPACE, Run, Words, mix, runs, window_hashes, word_hashes, words
 
 #: Columns of the statistics.
@@ -79,14 +79,10 @@ def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return word_hashes(Run(0, 0, data, np.zeros(0, np.int64)), Words(start, end, np.zeros(0, np.int64)), fold=False)
 
 
-def features(s: np.ndarray) -> np.ndarray:
-    """The rates that the forest splits on, from rows of STATS: characters and symbols a word.
-
-    Repetition is judged by the base rules; rates that differ between languages or grow with
-    the text would isolate clean documents.
-    """
+def rates(s: np.ndarray) -> np.ndarray:
+    """Characters, symbols, repeated lines and words of repeated windows a word, from rows of STATS."""
     n = np.maximum(s[:, 0], 1)
-    return np.column_stack([s[:, 1] / n, s[:, 2] / n])
+    return np.column_stack([s[:, at] / n for at in (1, 2, 3, 4)])
 
 
 def base_failed(s: np.ndarray) -> np.ndarray:
@@ -95,14 +91,22 @@ def base_failed(s: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Trees as arrays (tree, node): feature (-1: leaf), split, and path length of a leaf; node i has the children 2i + 1 and 2i + 2."""
+    """Trees as arrays (tree, node): feature (-1: leaf), split, and path length of a leaf; node i has the children 2i + 1 and 2i + 2.
+
+    Rates below `floor` count as the floor.
+    """
 
     feature: np.ndarray
     split: np.ndarray
     path: np.ndarray
     sample: int
+    floor: np.ndarray
     threshold: float = 1.0
 
+    def features(self, s: np.ndarray) -> np.ndarray:
+        """What the trees split on, from rows of STATS."""
+        return np.maximum(rates(s), self.floor)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** -(mean path / expected path): near 1 for rows that random splits isolate early."""
         total = np.zeros(len(x))
@@ -125,7 +129,7 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
+def grow(x: np.ndarray, trees: int, sample: int, seed: int, floor: np.ndarray) -> Forest:
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
     deep = _depth(sample)
@@ -148,50 +152,59 @@ def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
                 cut = x[rows[right], at].min()
             f[t, node], v[t, node] = at, cut
             todo += [(2 * node + 1, depth + 1, rows[~right]), (2 * node + 2, depth + 1, rows[right])]
-    return Forest(f, v, p, sample)
+    return Forest(f, v, p, sample, floor)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labels: int = 20_000, trees: int = 200, sample: int = 256, bad_share: float = 0.02, keep_clean: float = 0.999, seed: int = 17) -> Forest:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labels: int = 20_000, trees: int = 200, sample: int = 256, bad_share: float = 0.02, keep_clean: float = 0.999, margin: float = 0.25, seed: int = 17) -> Forest:
     """Fits the forest and its threshold on at most `max_labels` labelled rows, those of the smallest hashes of their key.
 
     The trees grow from samples of the good rows with a share `bad_share` of the others (or what
     there is), so that bad rows are few and far from the rest and random splits isolate them
-    early.  The threshold is calibrated on all these rows: it keeps the share `keep_clean` of
-    the good ones and lies midway to the next higher score of a bad one.  Rows that fail the
+    early.  Repetition that the share `keep_clean` of the good rows stays within counts as
+    none, since its long tail in clean text would hide everything else; what exceeds it shortens
+    the paths.  The threshold is calibrated on all these rows: it keeps the share `keep_clean` of
+    the good ones and lies by `margin` of the gap above their scores, up to the next score of a bad one.  Rows that fail the
     base rules take no part.  With fewer than two good rows the forest rejects nothing.
+
+    Labels without a key or label say nothing; of several labels of a key the lowest counts, and
+    rows of one key are rows of their own.  Keys may be of any type that sorts.
     """
     picked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     picked = picked.orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(max_labels)
     # at most max_labels rows of two numbers, hence the broadcast
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "k")
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("k", "y", *STATS)])
+    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), *(T.StructField(c, T.LongType()) for c in ("y", *STATS))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = statistics(arrow_strings(b, "text"))
-            yield pa.RecordBatch.from_arrays([b.column("k").cast(pa.int64()), b.column("y").cast(pa.int64()), *(pa.array(c) for c in s.T)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y").cast(pa.int64()), *(pa.array(c) for c in s.T)], names=schema.names)
 
     found = rows.select("k", "y", "text").mapInArrow(count, schema).orderBy("k", *STATS).limit(max_labels).toPandas()
     s = found[list(STATS)].to_numpy(np.int64).reshape(-1, len(STATS))
     good = found["y"].to_numpy() > 0
     ok = ~base_failed(s)
-    x, good = features(s[ok]), good[ok]
+    x, good = rates(s[ok]), good[ok]
     if good.sum() < 2:
-        return Forest(np.full((1, 2), -1), np.zeros((1, 2)), np.ones((1, 2)), 2, np.inf)
+        return Forest(np.full((1, 2), -1), np.zeros((1, 2)), np.ones((1, 2)), 2, np.zeros(x.shape[1]), np.inf)
+    floor = np.concatenate([[0.0, 0.0], np.quantile(x[good][:, 2:], keep_clean, axis=0, method="higher")])
+    x = np.maximum(x, floor)
     bad = np.random.default_rng(seed).permutation(np.flatnonzero(~good))[: int(np.ceil(bad_share * good.sum()))]
-    forest = grow(x[np.concatenate([np.flatnonzero(good), bad])], trees, sample, seed)
+    forest = grow(x[np.concatenate([np.flatnonzero(good), bad])], trees, sample, seed, floor)
     score = forest.score(x)
-    floor = np.quantile(score[good], keep_clean, method="higher")
-    above = score[~good][score[~good] > floor]
-    forest.threshold = float((floor + above.min()) / 2) if len(above) else float(floor)
+    least = np.quantile(score[good], keep_clean, method="higher")
+    above = score[~good][score[~good] > least]
+    forest.threshold = float(least + margin * (above.min() - least)) if len(above) else float(least)
     return forest
 
 
 def judge(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, STATS, score, base_failed and kept for every row of docs; one pass without a shuffle.
 
-    A null text has no words, so it fails the base rules; equal rows are judged alike.
+    A null text has no words, so it fails the base rules; equal rows are judged alike; an empty
+    table gives no rows; other columns are left alone.  A key named like a result is a ValueError.
     """
+    no_clash([key], [*STATS, "score", "base_failed", "kept"])
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in STATS), T.StructField("score", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +217,7 @@ def judge(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "tex
 
 def verdicts(column: pa.Array, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     s = statistics(column)
-    score = forest.score(features(s))
+    score = forest.score(forest.features(s))
     failed = base_failed(s)
     return s, score, failed, ~failed & (score <= forest.threshold)
 

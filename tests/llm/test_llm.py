@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import struct
@@ -303,6 +304,21 @@ def test_statistics():
     assert quality.statistics(pa.array([], pa.string())).shape == (0, 5)
 
 
+def brute_score(forest, s):
+    """The anomaly score of a row by walking every tree, node by node."""
+    n = max(1, s[0])
+    x = [max(s[1 + i] / n, f) for i, f in enumerate(forest.floor)]
+    paths = []
+    for feature, split, path in zip(forest.feature.tolist(), forest.split.tolist(), forest.path.tolist(), strict=True):
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + (2 if x[feature[node]] >= split[node] else 1)
+        paths.append(path[node])
+    m = forest.sample
+    expected = 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
+    return 2 ** -(sum(paths) / len(paths) / expected)
+
+
 def test_forest_keeps_clean_and_rejects_junk(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
@@ -320,6 +336,15 @@ def test_forest_keeps_clean_and_rejects_junk(spark):
     assert kept.columns == d.columns and kept.count() == sum(x.kept for x in quality.judge(d, forest).collect())
     again = quality.fit(d.repartition(3), labels)
     assert again.threshold == forest.threshold
+    for x in quality.judge(d, forest).collect():
+        s = [x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words]
+        assert x.score == pytest.approx(brute_score(forest, s))
+        assert x.base_failed == (s[0] < 50 or 100 * s[4] > 50 * s[0]) and x.kept == (not x.base_failed and brute_score(forest, s) <= forest.threshold)
+    assert quality.judge(d.limit(0), forest).count() == 0 and quality.keep_good(d.limit(0), forest).count() == 0
+    by_name = quality.fit(d.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    assert 0 < by_name.threshold < 1
+    with pytest.raises(ValueError, match="score"):
+        quality.judge(d.withColumnRenamed("doc_id", "score"), forest, key="score")
     nothing = quality.fit(d, labels.limit(0))
     assert all(x.kept != x.base_failed for x in quality.judge(d, nothing).collect())
 
