@@ -62,3 +62,12 @@ def test_gate_keeps_every_match():
             b = licenses._template_bigrams(t)
             free = [x for x in b if not {*gate} & {*x.split(" ")}]
             assert len(free) < licenses._least_shared(len(b), least)
+
+
+def test_gate_pattern_finds_words_only():
+    import re
+
+    words = ["nc", "license", "licensed", "a1"]
+    find = re.compile(licenses.gate_pattern(words).replace("\\x{10FFFF}", "\U0010ffff"))
+    for text, hit in [("x nc", 1), ("since", 0), ("_NC_", 1), ("(License)", 1), ("licenses", 0), ("licensed", 1), ("éncé", 0), ("1nc", 0), ("", 0), ("A1\n", 1), ("nc", 1)]:
+        assert bool(find.search(text)) == bool(hit), text
