@@ -16,6 +16,8 @@ from .text import MIX_B, NON_SPACE, Run, Words, mix, runs, window_hashes, word_h
 
 #: Columns of the statistics.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Share of good rows whose repetition counts as none.
+TAIL = 0.999
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _FIRST = (np.arange(256) & 0xC0) != 0x80  # the first byte of a code point
 
@@ -155,16 +157,14 @@ def grow(x: np.ndarray, trees: int, sample: int, seed: int, floor: np.ndarray) -
     return Forest(f, v, p, sample, floor)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labels: int = 20_000, trees: int = 200, sample: int = 256, bad_share: float = 0.02, keep_clean: float = 0.999, margin: float = 0.25, seed: int = 17) -> Forest:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labels: int = 20_000, trees: int = 200, sample: int = 256, bad_share: float = 0.02, keep_clean: float = 0.995, clean_weight: float = 20.0, margin: float = 0.25, seed: int = 17) -> Forest:
     """Fits the forest and its threshold on at most `max_labels` labelled rows, those of the smallest hashes of their key.
 
     The trees grow from samples of the good rows with a share `bad_share` of the others (or what
     there is), so that bad rows are few and far from the rest and random splits isolate them
-    early.  Repetition that the share `keep_clean` of the good rows stays within counts as
-    none, since its long tail in clean text would hide everything else; what exceeds it shortens
-    the paths.  The threshold is calibrated on all these rows: it keeps the share `keep_clean` of
-    the good ones and lies by `margin` of the gap above their scores, up to the next score of a bad one.  Rows that fail the
-    base rules take no part.  With fewer than two good rows the forest rejects nothing.
+    early.  Repetition that 99.9 % of the good rows stay within (TAIL) counts as none, since its long tail in clean text would hide everything else; what exceeds it shortens
+    the paths.  The threshold is calibrated on all these rows by calibrated().  Rows that fail
+    the base rules take no part.  With fewer than two good rows the forest rejects nothing.
 
     Labels without a key or label say nothing; of several labels of a key the lowest counts, and
     rows of one key are rows of their own.  Keys may be of any type that sorts.
@@ -187,17 +187,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     x, good = rates(s[ok]), good[ok]
     if good.sum() < 2:
         return Forest(np.full((1, 2), -1), np.zeros((1, 2)), np.ones((1, 2)), 2, np.zeros(x.shape[1]), np.inf)
-    floor = np.concatenate([[0.0, 0.0], np.quantile(x[good][:, 2:], keep_clean, axis=0, method="higher")])
+    floor = np.concatenate([[0.0, 0.0], np.quantile(x[good][:, 2:], TAIL, axis=0, method="higher")])
     x = np.maximum(x, floor)
     bad = np.random.default_rng(seed).permutation(np.flatnonzero(~good))[: int(np.ceil(bad_share * good.sum()))]
     forest = grow(x[np.concatenate([np.flatnonzero(good), bad])], trees, sample, seed, floor)
     score = forest.score(x)
-    least = np.quantile(score[good], keep_clean, method="higher")
-    above = score[~good][score[~good] > least]
-    forest.threshold = float(least + margin * (above.min() - least)) if len(above) else float(least)
+    forest.threshold = calibrated(score[good], score[~good], keep_clean, clean_weight, margin)
     return forest
 
 
+def calibrated(good: np.ndarray, bad: np.ndarray, keep_clean: float, clean_weight: float, margin: float) -> float:
+    """The threshold of the least cost, clean_weight * (share of good above) + (share of bad not above), that keeps `keep_clean` of the good.
+
+    It lies by `margin` of the gap above the scores that it lets pass, towards the next one.
+    """
+    scores = np.unique(np.concatenate([good, bad]))
+    lost = 1 - np.searchsorted(np.sort(good), scores, "right") / len(good)
+    left = np.searchsorted(np.sort(bad), scores, "right") / max(1, len(bad))
+    cost = np.where(lost <= 1 - keep_clean + 1e-12, clean_weight * lost + left, np.inf)
+    at = len(cost) - 1 - int(cost[::-1].argmin())  # of equal costs the highest threshold
+    above = scores[at + 1] if at + 1 < len(scores) else scores[at]
+    return float(scores[at] + margin * (above - scores[at]))
+
+
 def judge(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, STATS, score, base_failed and kept for every row of docs; one pass without a shuffle.
 
