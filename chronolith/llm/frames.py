@@ -134,9 +134,12 @@ def components(edges: DataFrame, a: str, b: str, last: int = LAST_LINKS, report:
         moved = links.join(up.select(F.col("n").alias("u"), F.col("p").alias("pu")), "u").join(up.select(F.col("n").alias("v"), F.col("p").alias("pv")), "v").where("pu <> pv")
         links = written(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "links")
     found = _joined_up(links)
+    if not moves:
+        return found.select(F.col("n").alias("node"), F.col("p").alias("component"))
     for up in reversed(moves):
         found = _followed(up, found)
     # every node of a link is a row of `found`; p only names its component
+    found = written(found, "found")
     return found.join(found.groupBy("p").agg(F.min("n").alias("component")), "p").select(F.col("n").alias("node"), "component")
 
 

@@ -5,10 +5,14 @@ the product are n-grams in one global order, frequent ones last; a pair that lin
 share one of the first n - ceil(0.8 n) + 1 n-grams of either set, so only those prefix
 columns are multiplied.  Each short column adds to the overlap counts of its pairs, and
 pairs whose prefix overlap plus what may follow stays below the overlap that their
-sizes ask for are dropped; the others are counted in full.  Documents of
-a long column are tied together instead.  Candidates and ties make groups; a group's
-sets are brought together in blocks of bounded size, each block pair is multiplied at
-once, and only a spanning forest of its links leaves.
+sizes ask for are dropped.  The documents of a long column form a star around one of them,
+the same one for columns of much the same documents; stars are never joined to larger groups.
+
+Links are counted in full before anything is grouped.  First go each document against the
+centre of its stars and against one partner: that joins dense groups of copies up in linear
+work.  What is left are candidate pairs across the components so found, counted one by
+one, and stars that reach over several components, multiplied in blocks of bounded size
+between different components only; a spanning forest of a block's links leaves it.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .frames import arrow_strings, components, cut, small
+from .frames import arrow_strings, components, no_clash, written
 from .text import MIX_A, NON_SPACE, Run, U, mix, runs, sequence_hash, window_hashes, word_hashes, words
 
 #: Words of an n-gram, and the similarity that links, as a fraction.
@@ -31,15 +36,15 @@ N, TOP, BOTTOM = 5, 4, 5
 SKETCH, CHUNKS = 1 << 21, 32
 #: Documents of a short column at most; documents and bytes of sets of a block.
 SHORT, BLOCK_DOCS, BLOCK_BYTES = 128, 1500, 24 << 20
-#: Bytes that an n-gram has in a set on its way to be counted.
-WIDTH = 6
+#: Bytes of an n-gram's hash.
+WIDTH = 8
 #: Bits of the bitmap of documents whose sets are counted in full, as a power of two (8 MB).
 MARK_BITS = 26
 _HALF = U(1 << 63)
 
 
 def shingle_sets(run: Run, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All sets of a run as (hashes, bounds); each ascends by hash, or with `order` by (class, hash)."""
+    """All sets of a run as (hashes, bounds); each ascends by hash, or with `order` by (class, hash) with the classes of rank()."""
     w = words(run, NON_SPACE)
     h = word_hashes(run, w, fold=True)
     n = run.last - run.first
@@ -51,17 +56,29 @@ def shingle_sets(run: Run, order: np.ndarray | None = None) -> tuple[np.ndarray,
     if len(few):
         g = np.concatenate([g, np.array([sequence_hash(h[w.index[i] : w.index[i + 1]]) for i in few], np.uint64)])
         owner = np.concatenate([owner, few])
-    by = np.lexsort((g, owner))
+    by = _sorted(n, owner, None if order is None else rank(g, order), g)
     g, owner = g[by], owner[by]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
     g, owner = g[new], owner[new]
-    if order is not None:
-        by = np.lexsort((g, rank(g, order), owner))
-        g = g[by]
     return g, np.searchsorted(owner, np.arange(n + 1))
 
 
+def _sorted(n: int, owner: np.ndarray, grade: np.ndarray | None, g: np.ndarray) -> np.ndarray:
+    """The order by (owner, grade, hash): one sort of as many leading bits as a word holds, checked, and a full sort where they tie."""
+    width = max(1, int(n).bit_length())
+    key = owner.astype(np.uint64) << U(64 - width)
+    if grade is not None:
+        width += 7
+        key |= grade.astype(np.uint64) << U(64 - width)
+    key |= g >> U(width)
+    by = np.argsort(key)
+    key, h = key[by], g[by]
+    if ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+        return np.lexsort((g, owner) if grade is None else (g, grade, owner))
+    return by
+
+
 def bucket(g: np.ndarray) -> np.ndarray:
     return (g & U(SKETCH - 1)).astype(np.int64)
 
@@ -89,8 +106,7 @@ def profile(docs: DataFrame) -> DataFrame:
             for run in runs(arrow_strings(b, "text")):
                 g, bounds = shingle_sets(run)
                 counts += np.bincount(bucket(g[g < _HALF]), minlength=SKETCH)
-                sums = [np.concatenate([[U(0)], np.cumsum(x)]) for x in (mix(g), mix(g ^ MIX_A))]
-                f = [mix(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
+                f = digests(g, bounds)
                 rows = run.last - run.first
                 yield pa.RecordBatch.from_arrays([b.column("k").slice(run.first, rows), pa.array(np.diff(bounds)), pa.array(f[0]), pa.array(f[1]), pa.nulls(rows, pa.binary())], names=names)
         none = pa.nulls(CHUNKS, pa.int64())
@@ -122,8 +138,14 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-TOP * (a + b) // (TOP + BOTTOM))
 
 
+def digests(g: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set, whatever its order."""
+    sums = [np.concatenate([[U(0)], np.cumsum(x)]) for x in (mix(g), mix(g ^ MIX_A))]
+    return [mix(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
+
+
 def prefixes(docs: DataFrame, order: np.ndarray) -> DataFrame:
-    """(k, n, p) of each document of docs (k, text) with words: its prefix in the global order, 8 bytes an n-gram."""
+    """(k, n, f1, f2, p) of each document of docs (k, text) with words: its set's size and hashes, and its prefix in the global order, 8 bytes an n-gram."""
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +154,12 @@ def prefixes(docs: DataFrame, order: np.ndarray) -> DataFrame:
                 g, bounds = shingle_sets(run, held.value)
                 n = np.diff(bounds)
                 size = np.where(n > 0, n - -(-TOP * n // BOTTOM) + 1, 0)
+                f = digests(g, bounds)
                 p = [g[x : x + m].tobytes() for x, m in zip(bounds[:-1], size, strict=True)]
-                rows = pa.RecordBatch.from_arrays([b.column("k").slice(run.first, len(n)), pa.array(n, pa.int32()), pa.array(p, pa.binary())], names=["k", "n", "p"])
+                rows = pa.RecordBatch.from_arrays([b.column("k").slice(run.first, len(n)), pa.array(n, pa.int32()), pa.array(f[0]), pa.array(f[1]), pa.array(p, pa.binary())], names=["k", "n", "f1", "f2", "p"])
                 yield rows.filter(pa.array(n > 0))
 
-    return docs.mapInArrow(go, "k long, n int, p binary")
+    return docs.mapInArrow(go, "k long, n int, f1 long, f2 long, p binary")
 
 
 def entries(packed: DataFrame) -> DataFrame:
@@ -159,55 +182,62 @@ _PAIRS = "a long, b long, na int, nb int, c long, ra int, rb int"
 _PAIR_NAMES = ["a", "b", "na", "nb", "c", "ra", "rb"]
 
 
-def columns_to_pairs(rows: DataFrame) -> DataFrame:
-    """Multiplies sorted columns: pair rows of short columns, and rows (hub, document, sizes, 0, ...) that tie the documents of a long one."""
+def columns_to_pairs(rows: DataFrame, short: int = SHORT) -> DataFrame:
+    """Multiplies columns: pair rows of short ones, and rows (centre, document, 0, ...) that tie the documents of a long one to a centre.
+
+    The centre is the document of the lowest hash, so long columns of much the same
+    documents mostly have the same one.  A column may be cut over tasks' batches; of a long
+    one only the centre is held.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
-        long, hub = None, 0  # the long column at hand and its first document
+        long, centre = None, 0  # the long column at hand and its first document
         for b in batches:
             held = [np.concatenate([x, b.column(j).to_numpy()]) for j, x in enumerate(held)]
             if not len(held[0]):
                 continue
             if long is not None:
                 more = int(np.searchsorted(held[0], long, "right"))
-                yield from _tied(hub, held[1][:more])
+                yield from _tied(centre, held[1][:more])
                 held = [x[more:] for x in held]
                 if not len(held[0]):
                     continue
-            # the last column may go on in the next batch; of a long one only its first document is held
+            # the last column may go on in the next batch
             whole = int(np.searchsorted(held[0], held[0][-1]))
-            yield from _multiply(*(x[:whole] for x in held))
+            yield from _multiply(*(x[:whole] for x in held), short)
             held = [x[whole:] for x in held]
             long = None
-            if len(held[0]) > SHORT:
-                long, hub = held[0][0], int(held[1][0])
-                yield from _tied(hub, held[1])
+            if len(held[0]) > short:
+                long, centre = held[0][0], int(held[1][0])
+                yield from _tied(centre, held[1])
                 held = [x[:0] for x in held]
-        yield from _multiply(*held)
+        yield from _multiply(*held, short)
 
-    return rows.repartition("h").sortWithinPartitions("h", "n", "k").mapInArrow(go, _PAIRS)
+    return rows.repartition("h").sortWithinPartitions("h", F.xxhash64("k"), "k").mapInArrow(go, _PAIRS)
 
 
-def _tied(hub: int, k: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows without sizes that tie the documents k of a long column to its first one."""
-    k = np.unique(k[k != hub])
+def _tied(centre: int, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows without sizes that tie the documents k of a long column to its centre."""
+    k = np.unique(k[k != centre])
     if len(k):
-        a, b = np.minimum(k, hub), np.maximum(k, hub)
         zero = np.zeros(len(k), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, zero, zero, zero.astype(np.int64), zero, zero)], names=_PAIR_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(k), centre), k, zero, zero, zero.astype(np.int64), zero, zero)], names=_PAIR_NAMES)
 
 
-def _multiply(h: np.ndarray, k: np.ndarray, n: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _multiply(h: np.ndarray, k: np.ndarray, n: np.ndarray, i: np.ndarray, short: int) -> Iterator[pa.RecordBatch]:
     if not len(h):
         return
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     size = np.diff(np.append(first, len(h)))
+    centre = k[first]
+    by = np.lexsort((k, n, h))
+    h, k, n, i = h[by], k[by], n[by], i[by]
     for s in np.unique(size[size > 1]):
         lists = first[size == s]
-        if s > SHORT:
-            for at in lists:
-                yield from _tied(int(k[at]), k[at : at + s])
+        if s > short:
+            for at, c in zip(lists, centre[size == s], strict=True):
+                yield from _tied(int(c), k[at : at + s])
             continue
         x, y = np.triu_indices(s, 1)
         step = max(1, 200_000 // len(x))
@@ -258,7 +288,7 @@ def marks(keys: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(k, s): the n-gram set, WIDTH bytes of each hash, of the documents of docs (k, text) that the bitmap marks, and of few others."""
+    """(k, s): the n-gram set, 8 bytes a hash in order, of the documents of docs (k, text) that the bitmap marks, and of few others."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,62 +297,62 @@ def sets_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             b = b.filter(pa.array((held.value[m >> 3] >> (7 - (m & 7)).astype(np.uint8)) & 1 == 1))
             for run in runs(arrow_strings(b, "text")):
                 g, bounds = shingle_sets(run)
-                short = g.view(np.uint8).reshape(-1, 8)[:, :WIDTH]
-                s = [short[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                s = [g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("k").slice(run.first, len(s)), pa.array(s, pa.binary())], names=["k", "s"])
 
-    return docs.mapInArrow(go, "k long, s binary")
+    return docs.mapInArrow(go, "k long, s binary").distinct()
 
 
 def unpack(s: bytes) -> np.ndarray:
-    """The distinct values of a set; two of one document are the same with a chance of n * n in 2 ** (8 * WIDTH + 1)."""
-    out = np.zeros((len(s) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(s, np.uint8).reshape(-1, WIDTH)
-    return np.unique(out.view(np.uint64).ravel())
+    return np.frombuffer(s, np.uint64)
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose whole sets link; the bounds by size come before the sets are read."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                p, q = (unpack(z.as_py()) for z in (x, y))
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(BOTTOM * both >= TOP * (len(p) + len(q) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(go, "a long, b long")
+    fit = full.where(BOTTOM * F.least(F.octet_length("sa"), F.octet_length("sb")) >= TOP * F.greatest(F.octet_length("sa"), F.octet_length("sb")))
+    return fit.select("a", "b", "sa", "sb").mapInArrow(go, "a long, b long")
 
 
-def blocked(members: DataFrame, tied: DataFrame) -> DataFrame:
-    """members (k, g, n) with the number of blocks of their group and whether its blocks are multiplied as a whole.
+def star_links(stars: DataFrame, sets: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Links (a, b) between different components inside stars (g, k, label): a spanning forest of each block pair's links.
 
-    That holds for groups with ties and for those of one block; the pairs of other
-    groups are few against their blocks and are counted one by one.
+    A component of half a block and more inside a star has blocks of its own, all others share
+    blocks; blocks of one component are not multiplied with each other.  Stars of one
+    component drop out as a whole.
     """
-    size = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.col("n") * WIDTH) / BLOCK_BYTES)).cast("int")
-    groups = members.groupBy("g").agg(size.alias("blocks"))
-    groups = cut(groups.join(tied.select("g", F.lit(True).alias("tied")), "g", "left").select("g", "blocks", (F.col("tied").isNotNull() | (F.col("blocks") == 1)).alias("whole")))
-    return members.join(small(groups, groups.count()), "g").select("k", "g", "blocks", "whole")
-
-
-def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) inside groups (k, g, blocks): a spanning forest of each block pair's links."""
-    placed = members.withColumn("x", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).join(sets, "k")
-    placed = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "k", "s")
+    sized = stars.join(sets.select("k", F.octet_length("s").alias("bytes")), "k")
+    many = F.greatest(F.ceil(F.sum("docs") / block_docs), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    labels = written(sized.groupBy("g", "label").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes")), "labels")
+    open_ = labels.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    big = F.when((2 * F.col("docs") >= block_docs) | (2 * F.col("bytes") >= BLOCK_BYTES), F.col("label"))
+    labels = labels.join(open_, "g", "left_semi").withColumn("own", big)
+    shared = labels.groupBy("g", "own").agg(many.alias("blocks"))
+    placed = stars.join(labels.select("g", "label", "own"), ["g", "label"]).join(shared.select("g", F.col("own").alias("o"), "blocks"), ["g"]).where(F.col("own").eqNullSafe(F.col("o")))
+    placed = written(placed.select("g", "k", F.struct("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("x")).alias("block")), "placed")
+    blocks = placed.select("g", "block").distinct()
+    # a row a pair of blocks, which are at least half full but for one a star
+    across = blocks.select("g", F.col("block").alias("i")).join(blocks.select("g", F.col("block").alias("j")), "g").where("i <= j and (i.own is null or j.own is null or i.own <> j.own)")
+    sides = across.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = placed.join(sides, ["g", "block"]).join(sets, "k").select("g", "i", "j", (F.col("block") != F.col("i")).alias("side"), "k", "s")
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k", ignore_index=True)
-        side = (pdf["x"] != pdf["i"]).to_numpy()
-        cross = bool((pdf["i"] != pdf["j"]).iloc[0])
-        a, b = _product(pdf["k"].to_numpy(), [unpack(s) for s in pdf["s"]], side, cross)
+        side = pdf["side"].to_numpy(bool)
+        a, b = _product(pdf["k"].to_numpy(), [unpack(s) for s in pdf["s"]], side, bool(side.any()))
         return pd.DataFrame({"a": a, "b": b})
 
-    return placed.groupBy("g", "i", "j").applyInPandas(go, "a long, b long")
+    return rows.groupBy("g", "i", "j").applyInPandas(go, "a long, b long")
 
 
 def _product(k: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -371,7 +401,7 @@ def _product(k: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: boo
     return k[label[moved]], k[moved]
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", short: int = SHORT, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """key, n_shingles and component_id of every row of docs.
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a set holds the
@@ -380,29 +410,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     smallest key that links reach.  Texts without words have size 0 and are
     linked with nothing.  Keys are whole numbers; rows of one key are one node; rows
     without a key take part in no link and have no component.  Equal rows keep their
-    count, an empty table gives no rows and other columns are left alone.
+    count, an empty table gives no rows and other columns are left alone; a key named
+    like a result, or not a whole number, is a ValueError.  Sets are compared by 64-bit
+    hashes of their n-grams, classes by 128 bits.  `short` and `block_docs` change no result.
     """
+    no_clash([key], ["n_shingles", "component_id"])
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} has to hold whole numbers")
     slim = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"))
-    seen = cut(profile(slim))
+    seen = written(profile(slim), "profile")
     order = classes_of(sketch(seen))
     rows = seen.where("counts is null").select("k", "n", "f1", "f2")
-    classes = cut(rows.where("n > 0 and k is not null").groupBy("n", "f1", "f2").agg(F.min("k").alias("rep")))
-    nodes = cut(rows.join(classes, ["n", "f1", "f2"], "left").select("k", "n", F.coalesce("rep", "k").alias("rep")))
-    others = nodes.where("k <> rep").select("k").distinct()
+    classes = rows.where("n > 0 and k is not null").groupBy("n", "f1", "f2").agg(F.min("k").alias("rep"))
+    nodes = written(rows.join(classes, ["n", "f1", "f2"], "left").select("k", "n", "f1", "f2", F.coalesce("rep", "k").alias("rep")), "nodes")
+    others = nodes.where("k <> rep").select("k", "f1", "f2").distinct()
     have_key = slim.where("k is not null")
-    packed = prefixes(have_key, order).join(others, "k", "left_anti")
-    made = columns_to_pairs(entries(packed)).groupBy("a", "b", (F.col("na") == 0).alias("tie")).agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"), F.min("ra").alias("ra"), F.min("rb").alias("rb"))
+    packed = prefixes(have_key, order).join(others, ["k", "f1", "f2"], "left_anti")
+    made = columns_to_pairs(entries(packed), short).groupBy("a", "b", (F.col("na") == 0).alias("tie")).agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"), F.min("ra").alias("ra"), F.min("rb").alias("rb"))
     # what lies behind the prefix that ends first, or behind the last shared n-gram, may be shared as a whole
     behind = f"least(ra, rb, greatest(({TOP} * na + {BOTTOM - 1}) div {BOTTOM}, ({TOP} * nb + {BOTTOM - 1}) div {BOTTOM}) - 1)"
-    made = cut(made.where(f"tie or c + {behind} >= ceil({TOP} * (na + nb) / {TOP + BOTTOM})").select("a", "b", "tie"))
-    groups = components(made, "a", "b").select(F.col("node").alias("k"), F.col("component").alias("g"))
-    tied = made.where("tie").join(groups.withColumnRenamed("k", "a"), "a").select("g").distinct()
-    sizes = nodes.groupBy("k").agg(F.max("n").alias("n"))
-    members = cut(blocked(groups.join(sizes, "k"), tied))
-    sets = sets_of(have_key, marks(members))
-    apart = members.where("not whole").select(F.col("k").alias("a"))
-    pairs = made.where("not tie").join(apart, "a", "left_semi").select("a", "b")
-    links = block_links(members.where("whole"), sets).union(linked_pairs(pairs, sets))
+    made = written(made.where(f"tie or c + {behind} >= ceil({TOP} * (na + nb) / {TOP + BOTTOM})").select("a", "b", "tie"), "candidates")
+    stars, pairs = made.where("tie"), made.where("not tie").select("a", "b")
+    sets = written(sets_of(have_key, marks(made.select(F.explode(F.array("a", "b")).alias("k")).distinct())), "sets")
+    # one partner a document, and the centres of its stars
+    firsts = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
+    firsts = written(firsts, "firsts")
+    near = written(linked_pairs(firsts, sets), "links")
+    label = components(near, "a", "b").withColumnsRenamed({"node": "k", "component": "label"})
+    label = written(label, "labels")
+
+    def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
+        return df.join(label.select(F.col("k").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    rest = labelled(labelled(pairs.join(firsts, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
+    points = stars.select(F.col("a").alias("g"), F.col("b").alias("k")).union(stars.select("a", "a")).distinct()
+    # rows of one key are one node, whatever their texts
+    same = nodes.where("k is not null").groupBy("k").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("b"), F.array_min("reps").alias("a")).select("a", "b")
+    links = near.union(linked_pairs(rest, sets)).union(star_links(labelled(points, "k", "label"), sets, block_docs)).union(same)
     found = components(links, "a", "b")
     out = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component", "rep")).cast(docs.schema[key].dataType).alias("component_id"))

@@ -124,18 +124,54 @@ def brute_components(rows):
 
 
 @pytest.mark.parametrize(("short", "block"), [(64, 400), (4, 400), (4, 16)])
-def test_ngram_join_equals_all_pairs(spark, corpus, monkeypatch, short, block):
-    monkeypatch.setattr(ngrams, "SHORT", short)
-    monkeypatch.setattr(ngrams, "BLOCK_DOCS", block)
-    want, sets = brute_components([(i, t) for i, t, _ in corpus])
-    out = ngrams.near_duplicates(docs_of(spark, corpus)).collect()
-    assert len(out) == len(corpus)
+def test_ngram_join_equals_all_pairs(spark, corpus, short, block):
+    rows = [(i, t) for i, t, _ in corpus]
+    rows += [(400, rows[150][1]), (400, rows[160][1]), (401, rows[170][1]), (400, rows[180][1])]  # one key, several texts
+    want, sets = brute_components(rows)
+    assert want[400] == want[150] == want[160] == want[180] == 150
+    out = ngrams.near_duplicates(docs_of(spark, [(*r, None) for r in rows]), short=short, block_docs=block).collect()
+    assert len(out) == len(rows)
     for r in out:
         assert r.component_id == want.get(r.doc_id)
         assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
     assert len(set(want.values())) < len(want) - 50
 
 
+def test_stars_of_several_components(spark):
+    """Texts that share one frequent passage in every prefix, in groups that link only inside, by chains that their centres do not reach."""
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(14)]
+    rows = []
+    for g in range(6):
+        w = [*passage, *(f"g{g}x{i}" for i in range(60))]
+        for _ in range(25):
+            w = list(w)
+            w[r.randrange(14, len(w))] = f"n{len(rows)}"
+            rows.append((len(rows) * 7 % 151, " ".join(w), None))
+    want, _ = brute_components([(i, t) for i, t, _ in rows])
+    assert 6 <= len(set(want.values())) < 100
+    out = ngrams.near_duplicates(docs_of(spark, rows), short=3, block_docs=10).collect()
+    assert {x.doc_id: x.component_id for x in out} == want
+
+
+def test_shingle_order_where_leading_bits_tie():
+    g = np.array([5, 3, 4, 3, 1 << 63, 2], np.uint64)
+    owner = np.array([1, 1, 0, 1, 1, 1])
+    by = ngrams._sorted(2, owner, None, g)
+    assert g[by].tolist() == [4, 2, 3, 3, 5, 1 << 63] and owner[by].tolist() == [0, 1, 1, 1, 1, 1]
+    by = ngrams._sorted(2, owner, np.array([0, 2, 0, 2, 1, 1]), g)
+    assert g[by].tolist() == [4, 2, 1 << 63, 3, 3, 5]
+
+
+def test_ngram_join_of_odd_tables(spark):
+    none = ngrams.near_duplicates(spark.createDataFrame([], "doc_id int, text string"))
+    assert none.collect() == [] and none.dtypes == [("doc_id", "int"), ("n_shingles", "bigint"), ("component_id", "int")]
+    with pytest.raises(ValueError, match="whole"):
+        ngrams.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(ValueError, match="n_shingles"):
+        ngrams.near_duplicates(spark.createDataFrame([(1, "b")], "n_shingles int, text string"), key="n_shingles")
+
+
 def test_keep_one(spark, corpus):
     want, _ = brute_components([(i, t) for i, t, _ in corpus])
     d = docs_of(spark, corpus)
@@ -144,11 +180,34 @@ def test_keep_one(spark, corpus):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _, _ in corpus if want.get(i) == i)
 
 
-def test_components_of_chains_and_hubs(spark):
-    e = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 400)] + [(7, 7)]
-    got = {r.node: r.component for r in frames.components(spark.createDataFrame(e, "a long, b long"), "a", "b").collect()}
+@pytest.mark.parametrize("last", [0, 50, frames.LAST_LINKS])
+def test_components_of_chains_and_hubs(spark, last):
+    e = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 400)] + [(7, 7), (None, 3), (60, 59)]
+    got = {r.node: r.component for r in frames.components(spark.createDataFrame(e, "a long, b long"), "a", "b", last).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 400)}}
-    assert frames.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    assert frames.components(spark.createDataFrame([], "a long, b long"), "a", "b", last).count() == 0
+
+
+@pytest.mark.parametrize("form", ["up", "down", "shuffled"])
+def test_rounds_grow_with_the_logarithm(spark, form):
+    n = 10_000
+    ids = list(range(n))[:: -1 if form == "down" else 1]
+    if form == "shuffled":
+        random.Random(1).shuffle(ids)
+    report: list[int] = []
+    got = frames.components(spark.createDataFrame(pa.table({"a": ids[:-1], "b": ids[1:]})), "a", "b", 0, report).collect()
+    assert len(got) == n and {r.component for r in got} == {0} and len(report) <= 20
+
+
+def test_lowest_labels():
+    r = random.Random(2)
+    for n in (1, 2, 30, 400):
+        e = [(r.randrange(n), r.randrange(n)) for _ in range(n)]
+        up = list(range(n))
+        for _ in range(n):
+            for u, v in e:
+                up[u] = up[v] = min(up[u], up[v])
+        assert frames.lowest_labels(n, *np.array(e).T).tolist() == up
 
 
 # ---- 4 decontamination
