@@ -50,6 +50,23 @@ def changes(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
     return c.join(plain_commits(spark, sf_dir), "hash")
 
 
+def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw commit relation: a row an order with its changes in an array."""
+    date, cust = F.to_date("o_orderdate"), F.col("o_custkey").cast("string")
+    o = table(spark, sf_dir, "orders").select(
+        (-(F.unix_date(date) * F.lit(10_000_000_000) + F.col("o_orderkey"))).alias("seq"), F.col("o_orderkey").cast("string").alias("hash"), F.concat(F.lit("Customer "), cust).alias("author"),
+        F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(" U"), cust, F.lit("@X.org"))).alias("email"), F.date_format(date, "yyyy-MM-dd").alias("date"),
+        (F.col("o_orderstatus") == "P").alias("merge"), F.col("o_orderpriority").alias("subject"),
+    )
+    n = F.col("l_linenumber")
+    change = F.struct(
+        F.col("l_partkey").cast("string").alias("path"), F.when(n == 6, F.concat(F.lit("old/"), F.col("l_suppkey").cast("string"))).alias("old_path"), F.col("l_quantity").cast("int").alias("add"),
+        n.cast("int").alias("del"), (n == 7).alias("binary"), (n == 6).alias("rename"),
+    )
+    files = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("hash")).agg(F.collect_list(change).alias("files"))
+    return o.join(files, "hash", "left")
+
+
 def today(spark: SparkSession, sf_dir: str):  # noqa: ANN201
     """The newest commit's date, a scalar of the orders."""
     return F.lit(table(spark, sf_dir, "orders").agg(F.to_date(F.max("o_orderdate"))).first()[0])

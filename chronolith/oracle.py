@@ -42,9 +42,11 @@ e AS (
   SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS src, CAST(l_suppkey AS VARCHAR) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_partkey <> l_suppkey
 )"""
 _EVENTS = """
-g AS (
-  SELECT DISTINCT user_id % 60 AS src, CAST(props->>'$.k' AS BIGINT) % 60 AS dst FROM events
-  WHERE event_type = 'error' AND event_id < 450 AND user_id % 60 <> CAST(props->>'$.k' AS BIGINT) % 60
+every AS (
+  SELECT DISTINCT user_id AS src, CAST(props->>'$.k' AS BIGINT) AS dst FROM events WHERE event_type = 'error' AND user_id <> CAST(props->>'$.k' AS BIGINT)
+), g AS (
+  -- what has no way in or no way out is in no cycle
+  SELECT src, dst FROM every WHERE src IN (SELECT dst FROM every) AND dst IN (SELECT src FROM every)
 ), reach(a, b) AS (
   SELECT src, dst FROM g UNION SELECT a, dst FROM reach JOIN g ON b = src
 ), mutual AS (
@@ -204,7 +206,7 @@ SELECT CAST(min(i) AS BIGINT) AS bus_factor FROM r WHERE upto >= 0.5 * t""",
 SELECT CAST(max(files) AS BIGINT) AS files, CAST(greatest(1, floor(max(files) * 0.1)) AS BIGINT) AS top_files, round(sum(n) FILTER (i <= greatest(1, floor(files * 0.1))) / sum(n), 6) AS share FROM r""",
     "single_owner": f"WITH {_FINE} SELECT path, count(*) AS commits FROM f GROUP BY path HAVING count(*) >= 2 AND count(DISTINCT key) = 1",
     "stale_files": f"WITH RECURSIVE {_SIGNALS} SELECT rel, CAST(code AS BIGINT) AS code, CAST(days_since AS INTEGER) AS days_since FROM sig WHERE rankable AND days_since > 30 AND code > 200 ORDER BY code DESC, rel LIMIT 20",
-    "orphan_files": f"WITH {_F}, {_FILES} SELECT rel, CAST(code AS BIGINT) AS code FROM s WHERE NOT is_test AND code > 0 AND rel NOT IN (SELECT path FROM f WHERE day < 9300) ORDER BY code DESC, rel LIMIT 20",
+    "orphan_files": f"WITH {_F}, {_FILES} SELECT rel, CAST(code AS BIGINT) AS code FROM s WHERE NOT is_test AND code > 0 AND rel NOT IN (SELECT path FROM f) ORDER BY code DESC, rel LIMIT 20",
     "deleted_paths": f"WITH {_F} SELECT path, count(*) AS commits FROM f WHERE path NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size > 10) GROUP BY path",
     "timeline_26m": f"WITH {_MONTHS} SELECT * FROM line",
     "cadence_6m": f"WITH {_MONTHS} SELECT count(*) FILTER (commits > 0) AS active_months, round(count(*) FILTER (commits > 0) / 6, 6) AS cadence FROM line WHERE ord >= 20",
@@ -282,6 +284,8 @@ SELECT rel, round(risk, 6) AS risk FROM t WHERE NOT is_tested AND commits > 3 OR
 string_split(rel, '/')[1] AS shard FROM paths WHERE size IS NOT NULL""",
     "cache_hit_split": f"""WITH {_PATHS} SELECT count(*) FILTER (size % 3 = 0) AS hits, count(*) FILTER (size % 3 <> 0) AS misses, round(count(*) FILTER (size % 3 = 0) / count(*), 6) AS hit_rate
 FROM paths WHERE size IS NOT NULL""",
+    "stream_history": f"""WITH {_F} SELECT path, count(*) AS commits, {_ADDS} AS adds, {_DELS} AS dels, min(day) AS first_day, max(day) AS last_day, CAST(arg_min(hash, (day, seq)) AS VARCHAR) AS born_commit,
+arg_max(key, (day, seq)) AS last_author FROM f GROUP BY path""",
     "incremental_equals_batch": f"""WITH {_F} SELECT path, count(*) AS commits, {_ADDS} AS adds, {_DELS} AS dels, min(day) AS first_day, max(day) AS last_day, arg_min(hash, (day, seq)) AS born_commit,
 arg_max(key, (day, seq)) AS last_author FROM f GROUP BY path""",
 }

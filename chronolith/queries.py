@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings as B
+from . import oracle_samples, samples
 from .functions import exprs as X
 from .operators import coverage, graph, history, rankings, scoring, text
 from .oracle import SQL
-from .sources import cache
+from .sources import cache, scratch
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,9 +515,21 @@ def incremental_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.result(state).select("path", "commits", "adds", "dels", "first_day", "last_day", "born_commit", "last_author")
 
 
+@query
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File churn of the commits as files that arrive one after the other and are folded by a stream."""
+    at = f"{scratch.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    raw = B.raw_commits(spark, sf_dir)
+    for k in range(3):
+        raw.where(F.pmod(F.xxhash64("hash"), F.lit(3)) == k).write.mode("append").json(f"{at}/in")
+        incremental.follow(spark, f"{at}/in", f"{at}/state", f"{at}/progress").awaitTermination()
+    return incremental.result(incremental.read_state(spark, f"{at}/state")).select("path", "commits", "adds", "dels", "first_day", "last_day", "born_commit", "last_author")
+
+
 def queries() -> dict[str, Query]:
-    return dict(_registered)
+    return _registered | samples.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in _registered}
+    known = queries()
+    return {k: v for k, v in {**SQL, **oracle_samples.SQL}.items() if k in known}
