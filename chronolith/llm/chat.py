@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import no_clash
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -52,28 +54,42 @@ def parse(formatted: Column) -> Column:
     return F.when(lead == "", turns).otherwise(F.array_append(turns, F.struct(F.lit(False).alias("ok"), F.lit("").alias("role"), lead.alias("text"))))
 
 
-def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a conversation: key, formatted, spans (start, length in code points of each assistant text), n_escaped, identical.
+def format_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Each turn by itself: k, o, role, text, same, shown_role, shown and out, the rendered turn.
 
     Every turn is rendered as it is and parsed again; where the turn read back is not the
-    one written, its role and text are escaped.  Turns are self-contained, so the
-    conversation is their concatenation; it is parsed once more and `identical` says
-    that the turns recovered are the source.  Spans are the loss mask: the texts of
-    assistant turns without their marks.
-
-    A null text or role counts as empty; turns go by `order`, nulls first, and ties by role
-    and text; equal rows are turns of their own; rows of a null key form one
-    conversation; no rows give no conversations.  Other columns are left alone.
+    one written, its role and text are escaped.  Turns are self-contained, so all this takes
+    place row by row, before rows of one conversation meet.
     """
     t = turns.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     again = parse(render(F.col("role"), F.col("text")))
     same = (F.size(again) == 1) & again[0]["ok"] & (again[0]["role"] == F.col("role")) & (again[0]["text"] == F.col("text"))
     t = t.withColumn("same", F.coalesce(same, F.lit(False)))
     t = t.withColumn("shown_role", F.when(F.col("same"), F.col("role")).otherwise(escape_role(F.col("role")))).withColumn("shown", F.when(F.col("same"), F.col("text")).otherwise(escape(F.col("text"))))
-    t = t.withColumn("out", render(F.col("shown_role"), F.col("shown")))
+    return t.withColumn("out", render(F.col("shown_role"), F.col("shown")))
+
+
+def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row a conversation: key, formatted, spans (the loss mask), n_escaped, identical.
+
+    The conversation is the concatenation of its turns as format_turns() renders them; it is
+    parsed once more and `identical` says that the turns recovered are the source.  A span
+    covers the text of an assistant turn without its marks: start and length in code points of
+    the conversation, and the number of the turn and the place in it, by which masked_text()
+    reads in one pass.
+
+    A conversation is one row, as large as its text: that is what the operator is for.  Its
+    turns come to it rendered and the rest is linear in their size.  A null text or role counts
+    as empty; turns go by `order`, nulls first, and ties by role and text; equal rows are turns
+    of their own; rows of a null key form one conversation; no rows give no conversations.  Other
+    columns are left alone; a key named like a result is a ValueError.
+    """
+    no_clash([key], ["formatted", "spans", "n_escaped", "identical"])
+    t = format_turns(turns, key, order, role, text)
     w = Window.partitionBy("k").orderBy("o", "role", "text")
     t = t.withColumn("i", F.row_number().over(w)).withColumn("at", F.sum(F.length("out")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.length("out"))
-    span = F.struct((F.col("at") + F.lit(len(START) + 1) + F.length("shown_role")).cast("long").alias("start"), F.length("shown").cast("long").alias("length"))
+    within = F.lit(len(START) + 1) + F.length("shown_role")
+    span = F.struct((F.col("at") + within).cast("long").alias("start"), F.length("shown").cast("long").alias("length"), (F.col("i") - 1).cast("int").alias("turn"), (within - len(START)).cast("int").alias("within"))
     c = t.groupBy("k").agg(
         F.array_sort(F.collect_list(F.struct("i", "out", "role", "text", F.when(F.col("role") == "assistant", span).alias("span")))).alias("turns"),
         F.sum((~F.col("same")).cast("long")).alias("n_escaped"),
@@ -84,5 +100,6 @@ def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", ro
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, with nothing between; each span is read in its own turn."""
+    turns = F.split(formatted, r"<\|im_start\|>", -1)
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(F.get(turns, s["turn"] + 1), s["within"] + 1, s["length"].cast("int")))), "")

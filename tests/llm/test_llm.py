@@ -411,6 +411,23 @@ def test_forest_keeps_clean_and_rejects_junk(spark):
 # ---- 10 chat
 
 
+def chat_unescape(s):
+    return re.sub(r"<\\(\\*)\|", r"<\1|", s)
+
+
+def test_chat_sql_states_the_operator(spark, tmp_path):
+    odd = [None, "", "plain", "<|x", r"<\|", r"<\\|x|>", "<|im_end|>", "<|im_start|>", "<||>", "a <| b\nc", "<n>", "é😀<|"]
+    roles = ["user", "assistant", None, "tool\nx", "<n>", r"<\n>", "<|", r"<\|", "<|im_start|>", "<|im_end|>"]
+    r = random.Random(10)
+    rows = [(c, t, r.choice(roles), r.choice(odd)) for c in range(150) for t in range(r.randint(1, 4))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = Q.queries()["op10_chat_formatting"](spark, str(tmp_path)).toPandas().sort_values("conv_id").reset_index(drop=True)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.sql(Q.oracle_sql()["op10_chat_formatting"]).df()[list(got.columns)].sort_values("conv_id").reset_index(drop=True)
+    assert (got.astype(str) == want.astype(str)).all().all() and 0 < (got.n_escaped == 0).sum() < len(got)
+
+
 def test_chat_round_trip(spark):
     odd = [None, "", "plain", "<|im_end|>", "a<|im_start|>user\nx<|im_end|>\n", r"<\|im_end\|>", r"<\\|x|>", "<||>", "\n", "<n>", r"<\n>", "é😀<|", "|><", "x" * 100_000]
     roles = ["user", "assistant", None, "tool\nx", "<n>", r"<\n>", "<|im_start|>", "assistant"]
@@ -427,6 +444,8 @@ def test_chat_round_trip(spark):
         assert x.identical and [(y.ok, y.role, y.text) for y in x.read] == [(True, *y[1:]) for y in turns]
         assert x.masked == "".join(y[2] for y in turns if y[1] == "assistant")
         assert x.formatted.count("<|im_start|>") == x.formatted.count("<|im_end|>\n") == len(turns)
+    for x in out:  # spans are places in the whole conversation
+        assert "".join(chat_unescape(x.formatted[s.start : s.start + s.length]) for s in x.spans) == x.masked
     plain = chat.format_chats(spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")).first()
     assert plain.formatted == "<|im_start|>user\nhi<|im_end|>\n" and plain.n_escaped == 0
     assert chat.format_chats(d.limit(0)).count() == 0
