@@ -71,6 +71,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def spread_join(rows: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
+    """rows left joined on `on` with side, a row a key, whose column `copies` says how many of the rows have the key (it is dropped).
+
+    Keys of more than one in BROADCAST_ROWS of all copies are at most BROADCAST_ROWS, so they
+    are broadcast and their rows stay where they are; no key of the others is large.
+    """
+    more = [c for c in side.columns if c not in (*on, "copies")]
+    large = F.col("copies") * BROADCAST_ROWS > F.lit(side.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    first = rows.join(F.broadcast(side.where(large).drop("copies").withColumn("large", F.lit(True))), list(on), "left")
+    rest = first.where("large is null").drop("large", *more).join(side.where(~large).drop("copies"), list(on), "left")
+    return first.where("large").drop("large").unionByName(rest)
+
+
 def ordered(df: DataFrame, keys: Sequence[Column], weight: str) -> DataFrame:
     """df in the order of `keys` with the columns `ord` (rows before) and `before` (sum of `weight` before).
 

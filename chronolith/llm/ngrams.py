@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import BROADCAST_ROWS, arrow_strings, components, no_clash, written
+from .frames import arrow_strings, components, no_clash, spread_join, written
 from .text import MIX_A, NON_SPACE, Run, U, mix, runs, sequence_hash, window_hashes, word_hashes, words
 
 #: Words of an n-gram, and the similarity that links, as a fraction.
@@ -401,19 +401,6 @@ def _product(k: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: boo
     return k[label[moved]], k[moved]
 
 
-def _represented(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """rows (k, n, f1, f2) with the representative of their class, or themselves.
-
-    Classes of more than one in BROADCAST_ROWS of all copies are at most BROADCAST_ROWS, so they
-    are broadcast and their rows stay where they are; no class of the others is large.
-    """
-    key = ["n", "f1", "f2"]
-    large = F.col("copies") * BROADCAST_ROWS > F.lit(classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
-    first = rows.join(F.broadcast(classes.where(large).drop("copies")), key, "left")
-    rest = first.where("rep is null").drop("rep").join(classes.where(~large).drop("copies"), key, "left").withColumn("rep", F.coalesce("rep", "k"))
-    return first.where("rep is not null").unionByName(rest).select("k", "n", "f1", "f2", "rep")
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", short: int = SHORT, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """key, n_shingles and component_id of every row of docs.
 
@@ -435,7 +422,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     order = classes_of(sketch(seen))
     rows = seen.where("counts is null").select("k", "n", "f1", "f2")
     classes = written(rows.where("n > 0 and k is not null").groupBy("n", "f1", "f2").agg(F.min("k").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
-    nodes = written(_represented(rows, classes), "nodes")
+    nodes = written(spread_join(rows, classes, ["n", "f1", "f2"]).withColumn("rep", F.coalesce("rep", "k")).select("k", "n", "f1", "f2", "rep"), "nodes")
     others = nodes.where("k <> rep").select("k", "f1", "f2").distinct()
     have_key = slim.where("k is not null")
     packed = prefixes(have_key, order).join(others, ["k", "f1", "f2"], "left_anti")

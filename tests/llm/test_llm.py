@@ -252,7 +252,8 @@ def test_url_filters(spark):
     r = random.Random(3)
     hosts = ["com", "example.com", "a.example.com", "notcom", "example.net", "x.y.example.net", "org", "COM", "example-com.com", "", "com.", "xcom"]
     rows = [(i, r.choice(["http://", "s://", "x"]) + r.choice(hosts) + r.choice(["", "/en/", "/en/7x", "/de/88", "/es/", "/en", "?q=/en/", "#/en/"]) + r.choice(["", "?a=://b", "#c"])) for i in range(600)] + [(1000, None), (1001, ""), (None, "http://com/en/"), (1, "http://com/en/"), (2000, "a\nhttp://com/en/\nb")]
-    rules = [*Q.URL_RULES, ("allow", "x.y.example.net", "/de/88"), ("block", "example.com", "/en/7"), ("allow", "y.example.net", "")]
+    rows += [(3000 + i, "http://a.example.com/en/7") for i in range(200)]  # a hot url
+    rules = [*Q.URL_RULES, ("block", "com", "en"), ("allow", "com", "/en/"), ("block", "", "/es/"), ("allow", "COM", "/en/7x"), ("allow", "x.y.example.net", "/de/88"), ("block", "example.com", "/en/7"), ("allow", "y.example.net", "")]
 
     def brute(u):
         host, _, rest = (u or "").partition("://")
@@ -260,7 +261,7 @@ def test_url_filters(spark):
             return "", "", None, "allow"
         m = re.match(r"(?s)([^/?#]*)([^?#]*)", rest)
         host, path = lower(m[1]), m[2]
-        fits = [(len(h + p), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits = [(len(h + p), v, h + p) for v, h, p in ((v, lower(h), p) for v, h, p in rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, max(fits)[2], max(fits)[1]) if fits else (host, path, None, "allow")
 
     pages = spark.createDataFrame([(*x, "clash") for x in rows], "page_id long, url string, path string")
