@@ -90,7 +90,8 @@ def ordered(df: DataFrame, keys: Sequence[Column], weight: str) -> DataFrame:
     The rows are dealt out by range and sorted; each partition counts its own prefix
     sums, and only the partitions' totals are added up across partitions.  Rows with
     equal keys spread over neighbouring partitions as long as the keys end in a
-    column that tells them apart.
+    column that tells them apart.  The bounds of the ranges come from a first run over
+    df, so what is dear to compute is better written before.
     """
     spark = df.sparkSession
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in ("part", "ord", "before"))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut, ordered, small
+from .frames import cut, no_clash, ordered, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,9 +50,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     Null sources form one source, null keys sort first and equal rows count one by one.
     Sources without words have target 0 and no copies.  An empty table gives no rows.
+    Columns in `keep` may have any names; a key named like a result is a ValueError.
     """
+    no_clash([key], ["source", "size", "source_size", "target", "copies", "row"])
     keep_row = [F.struct(*keep).alias("row")] if keep else []
     slim = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep_row)
+    if not keep:
+        slim = written(slim, "sizes")  # narrow, and read twice
     rows = ordered(slim.withColumn("tie", F.xxhash64("k", F.lit(seed))), [F.col("source").asc_nulls_last(), F.col("size"), F.col("tie"), F.col("k")], "size")
     sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.min("ord").alias("first")))
     n_sources = sizes.count()

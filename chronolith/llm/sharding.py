@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import ordered
+from .frames import no_clash, ordered, written
 
 #: A group of equal texts stays in one shard if it holds at most this part of a shard.
 WHOLE_GROUP = 0.02
@@ -24,8 +24,10 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_
     Returns key, size, text_crc32, shard, slot (gapless from 0 in every shard) and the
     columns `keep`, under their own names behind those.  Null keys sort first; equal
     rows are rows of their own; an empty table gives no rows; columns of other names
-    are left alone, and one in `keep` named like a result is dropped.
+    are left alone, and one in `keep` named like a result is dropped; a key named like
+    a result is a ValueError.
     """
+    no_clash([key], ["size", "text_crc32", "shard", "slot"])
     own = ["size", "text_crc32", "shard", "slot", key]
     slim = docs.select(
         F.col(key).alias("k"),
@@ -35,7 +37,7 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_
         F.struct(*(F.col(c) for c in keep if c not in own)).alias("rest") if any(c not in own for c in keep) else F.lit(None).alias("rest"),
     )
     if not any(c not in own for c in keep):
-        slim = slim.drop("rest")
+        slim = written(slim.drop("rest"), "sizes")  # narrow, and read twice
     rows = ordered(slim, [F.col("g"), F.col("crc"), F.col("k")], "size")
     total = rows.agg(F.max(F.col("before") + F.col("size"))).first()[0]
     if total is None:

@@ -86,6 +86,48 @@ def test_sharding(spark, corpus):
     assert list(out.columns) == ["doc_id", "size", "text_crc32", "shard", "slot", "text", "k"]
 
 
+def brute_shards(rows, shards):
+    """Shards and slots by sorting all rows, adding sizes up one by one and cutting where the sum passes each target."""
+    line, group, shard_of = [], [], []
+    for g, _, i, t in sorted(rows, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0)):
+        line.append((i, len(t.encode()) + 1))
+        group.append((g, t))
+    before = [0]
+    for _, n in line:
+        before.append(before[-1] + n)
+    total, cuts = before[-1], []
+    for s in range(1, shards):
+        aim = total * s // shards
+        for lo in range(len(line)):
+            hi = next(j for j in range(lo, len(line) + 1) if j == len(line) or group[j] != group[lo])
+            first = next(j for j in range(lo + 1) if group[j] == group[lo])
+            if before[first] < aim < before[hi]:
+                if before[hi] - before[first] <= total / shards * sharding.WHOLE_GROUP:
+                    aim = before[first] if aim - before[first] <= before[hi] - aim else before[hi]
+                break
+        cuts.append(aim)
+    slots = Counter()
+    for (i, _), b in zip(line, before):
+        s = sum(b >= c for c in cuts)
+        shard_of.append((i, s, slots[s]))
+        slots[s] += 1
+    return shard_of
+
+
+def test_sharding_equals_brute_force(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice(["é" * r.randint(0, 30), f"text {r.randint(0, 25)} " + "x" * r.randint(0, 3)]), None) for i in range(260)] + [(900 + i, "hot", None) for i in range(90)] + [(None, "hot", None)]
+    d = docs_of(spark, rows)
+    keyed = d.select(F.xxhash64("text").alias("g"), F.crc32("text").alias("c"), "doc_id", "text").collect()
+    want = brute_shards([tuple(x) for x in keyed], 5)
+    got = sharding.shard(d, 5).select("doc_id", "shard", "slot").collect()
+    plain = lambda x: sorted(((i is None, i or 0, s, n) for i, s, n in x))
+    assert plain(tuple(x) for x in got) == plain(want)
+    assert sharding.shard(d.limit(0), 5).count() == 0
+    with pytest.raises(ValueError, match="slot"):
+        sharding.shard(d.withColumnRenamed("doc_id", "slot"), 5, key="slot")
+
+
 def test_sharding_balances_and_keeps_groups(spark):
     rows = [(i, f"text {i % 900} " + "x" * (i % 50), None) for i in range(3000)] + [(5000 + i, "hot copy", None) for i in range(1500)]
     out = sharding.shard(docs_of(spark, rows), 8).toPandas()
