@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.exprs import author_key, month_of
 from .operators import graph, history, scoring
+from .sources import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,14 +41,20 @@ def plain_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
-    part = F.col("l_partkey").cast("string")
-    path = F.concat(F.col("l_suppkey").cast("string"), F.lit("/"), part) if fine else part
+    """Changes with the facts of their commit, from one written table: the join of items and orders is paid once."""
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
     n = F.col("l_linenumber")
-    c = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("hash"), path.alias("path"), F.col("l_quantity").cast("int").alias("add"), n.alias("del"), (n == 7).alias("binary"), (n == 6).alias("rename"),
-        F.when(n == 6, F.concat(F.lit("old/"), F.col("l_suppkey").cast("string"))).alias("old_path"),
-    )
-    return c.join(plain_commits(spark, sf_dir), "hash")
+
+    def make() -> DataFrame:
+        c = table(spark, sf_dir, "lineitem").select(
+            F.col("l_orderkey").alias("hash"), part.alias("part"), supplier.alias("supplier"), F.col("l_quantity").cast("int").alias("add"), n.alias("del"), (n == 7).alias("binary"), (n == 6).alias("rename"),
+        )
+        return c.join(plain_commits(spark, sf_dir), "hash")
+
+    c = scratch.once(spark, "changes", [table(spark, sf_dir, t) for t in ("orders", "lineitem")], make)
+    path = F.concat(F.col("supplier"), F.lit("/"), F.col("part")) if fine else F.col("part")
+    old = F.when(F.col("rename"), F.concat(F.lit("old/"), F.col("supplier"))).alias("old_path")
+    return c.select("hash", path.alias("path"), "add", "del", "binary", "rename", old, *(x for x in c.columns if x not in ("hash", "part", "supplier", "add", "del", "binary", "rename")))
 
 
 def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +76,9 @@ def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def today(spark: SparkSession, sf_dir: str):  # noqa: ANN201
     """The newest commit's date, a scalar of the orders."""
-    return F.lit(table(spark, sf_dir, "orders").agg(F.to_date(F.max("o_orderdate"))).first()[0])
+    orders = table(spark, sf_dir, "orders")
+    newest = scratch.once(spark, "newest", [orders], lambda: orders.agg(F.to_date(F.max("o_orderdate")).alias("d")))
+    return F.lit(newest.first()[0])
 
 
 def present(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +110,15 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ch = changes(spark, sf_dir)
-    e = part_edges(spark, sf_dir)
-    s = shapes(spark, sf_dir)
-    tests = s.where("is_test").select(F.col("rel").alias("src"))
-    tested = e.join(tests, "src", "left_semi").select(F.col("dst").alias("rel")).distinct()
-    in_cycle = graph.cycles(event_edges(spark, sf_dir)).select(F.col("node").cast("string").alias("rel"))
-    return scoring.signals(s, history.file_history(ch), history.ownership(history.file_author(ch)), graph.fan_in(e), graph.fan_out(e), tested, in_cycle, today(spark, sf_dir))
+    """All facts of all parts, one written table that every score and ranking reads."""
+
+    def make() -> DataFrame:
+        ch = changes(spark, sf_dir)
+        e = scratch.written(part_edges(spark, sf_dir), "edges")
+        s = shapes(spark, sf_dir)
+        tests = s.where("is_test").select(F.col("rel").alias("src"))
+        tested = e.join(tests, "src", "left_semi").select(F.col("dst").alias("rel")).distinct()
+        in_cycle = graph.cycles(event_edges(spark, sf_dir)).select(F.col("node").cast("string").alias("rel"))
+        return scoring.signals(s, history.file_history(ch), history.ownership(history.file_author(ch)), graph.fan_in(e), graph.fan_out(e), tested, in_cycle, today(spark, sf_dir))
+
+    return scratch.once(spark, "signals", [table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "events")], make)

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.exprs import author_key, basename, day_index, extension, month_of, parent
 
 
+#: Pairs of a commit's new and old paths that are tried one by one at most.
+DIRECT = 10_000
+
+
 def prepare(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(commits, changes) of the raw relation with author keys, days and month buckets."""
     c = commits.select(
@@ -125,14 +129,22 @@ def rename_matches(history: DataFrame, present: DataFrame) -> DataFrame:
 
     Present paths choose in the order in which they were first seen, each the best
     candidate of at least 20 points that is left; of equal ones the one seen first.
-    Only commits with both kinds and only pairs of 20 points and more reach the greedy
-    step, which runs a commit at a time.
+    Twenty points ask for base names of which one begins the other.  In commits of at
+    most DIRECT pairs all are tried; in larger ones pairs come from equi-joins of the names
+    with each other's beginnings.  The greedy step runs a commit at a time.
     """
-    born = history.where("born_commit is not null").select("path", "born_commit", "first_seq")
-    kept = present.select("path").distinct()
-    here = born.join(kept, "path", "left_semi").select(F.col("path").alias("new"), "born_commit", F.col("first_seq").alias("new_seq"))
-    gone = born.join(kept, "path", "left_anti").select(F.col("path").alias("old"), "born_commit", F.col("first_seq").alias("old_seq"))
-    pairs = here.join(gone, "born_commit").withColumn("score", rename_score(F.col("old"), F.col("new"))).where("score >= 20")
+    kept = present.select("path").distinct().withColumn("here", F.lit(True))
+    born = history.where("born_commit is not null").select("path", "born_commit", "first_seq").join(kept, "path", "left").withColumn("here", F.coalesce("here", F.lit(False)))
+    sizes = born.groupBy("born_commit").agg((F.count_if("here") * F.count_if(~F.col("here"))).alias("tries")).where("tries > 0")
+    born = born.join(sizes, "born_commit").withColumn("name", basename(F.col("path")))
+    here = born.where("here").select(F.col("path").alias("new"), "born_commit", F.col("first_seq").alias("new_seq"), "name", "tries")
+    gone = born.where("not here").select(F.col("path").alias("old"), "born_commit", F.col("first_seq").alias("old_seq"), "name", "tries")
+    direct = here.where(F.col("tries") <= DIRECT).drop("name", "tries").join(gone.where(F.col("tries") <= DIRECT).drop("name", "tries"), "born_commit")
+    here, gone = (x.where((F.col("tries") > DIRECT) & (F.col("name") != "")).drop("tries") for x in (here, gone))
+    begun = F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n)))
+    longer = here.withColumn("name", begun).join(gone, ["born_commit", "name"]).drop("name")
+    shorter = here.join(gone.withColumn("name", begun), ["born_commit", "name"]).drop("name")
+    pairs = direct.unionByName(longer.unionByName(shorter).distinct()).withColumn("score", rename_score(F.col("old"), F.col("new"))).where("score >= 20")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, used, done = [], set(), set()

@@ -6,6 +6,7 @@ lexer of source files is functions.lexer.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -77,18 +78,20 @@ def import_specs(files: DataFrame, key: str, text: str, pattern: str, group: int
 
 
 def marker_rows(files: DataFrame, key: str, text: str, weights: Mapping[str, int]) -> DataFrame:
-    """(key, line, marker, weight, text): a row for each occurrence of a label in an upper-cased line."""
-    lines = files.select(key, F.posexplode(F.split(text, "\n")).alias("i", "body"))
-    marks = F.array(*(F.struct(F.lit(m).alias("marker"), F.lit(w).alias("weight")) for m, w in weights.items()))
-    rows = lines.select(key, (F.col("i") + 1).alias("line"), "body", F.explode(marks).alias("x"))
-    n = (F.length(F.upper("body")) - F.length(F.replace(F.upper("body"), F.col("x.marker"), F.lit("")))) / F.length("x.marker")
-    rows = rows.withColumn("n", n.cast("int")).where("n > 0")
-    return rows.select(key, "line", "x.marker", "x.weight", F.substring(F.trim("body"), 1, 90).alias("text"), F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("one")).drop("one")
+    """(key, line, marker, weight, text, n): a row for each label that an upper-cased line holds, with its occurrences n."""
+    lines = F.transform(F.split(text, "\n"), lambda s, i: F.struct((i + 1).alias("line"), s.alias("body"), F.upper(s).alias("up")))
+    # lines without any label are never rows
+    said = F.filter(lines, lambda x: x["up"].rlike("|".join(re.escape(m) for m in weights)))
+    marks = F.array(*(F.struct(F.lit(m).alias("marker"), F.lit(w).alias("weight"), F.lit(len(m)).alias("size")) for m, w in weights.items()))
+    rows = files.select(key, F.inline(said)).select(key, "line", "body", "up", F.inline(marks))
+    n = (F.length("up") - F.length(F.replace(F.col("up"), F.col("marker"), F.lit("")))) / F.col("size")
+    return rows.withColumn("n", n.cast("int")).where("n > 0").select(key, "line", "marker", "weight", F.substring(F.trim("body"), 1, 90).alias("text"), "n")
 
 
 def marker_counts(markers: DataFrame, key: str) -> DataFrame:
-    """Per marker: count, weight and distinct files."""
-    return markers.groupBy("marker").agg(F.count("*").alias("count"), F.sum("weight").cast("long").alias("weight"), F.countDistinct(key).alias("files"))
+    """Per marker: count, weight and distinct files; without a column n a row is one occurrence."""
+    n = F.col("n") if "n" in markers.columns else F.lit(1)
+    return markers.groupBy("marker").agg(F.sum(n).cast("long").alias("count"), F.sum(F.col("weight") * n).cast("long").alias("weight"), F.countDistinct(key).alias("files"))
 
 
 def oldest_marker(markers: DataFrame, signals: DataFrame) -> DataFrame:

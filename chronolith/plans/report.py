@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexer
 from ..operators import coverage, graph, history, rankings, scoring, text
-from ..sources import cache, gitlog, manifests, workspace
+from ..sources import cache, gitlog, manifests, scratch, workspace
 
 SECTIONS = ("header", "health", "activity", "glance", "hotspots", "ownership", "structure", "debt", "tests", "footer")
 SCHEMA, VERSION = 1, "0.1.0"
@@ -64,29 +64,32 @@ def measure(spark: SparkSession, records: DataFrame, root: str, cache_dir: str |
         todo = keyed.join(old.select("cache_key"), "cache_key", "left_anti")
     fresh = lexer.scan(workspace.contents(todo.select("rel", "language"), root)).join(keyed.select("rel", "cache_key"), "rel")
     if cache_dir:
-        fresh = fresh.cache()
+        fresh = scratch.written(fresh, "fresh")
         cache.store(fresh, cache_dir, today)
     return (fresh if known is None else fresh.unionByName(known)).drop("cache_key")
 
 
 def analyse(spark: SparkSession, root: str, options: Options | None = None) -> Report:
-    """Collects, scans, folds history, resolves imports and scores; independent branches of one plan meet in signals."""
+    """Collects, scans, folds history, resolves imports and scores; independent branches meet in signals.
+
+    What several branches begin with is written once and read again, so that no plan holds another's.
+    """
     o = options or Options()
     day = o.today or datetime.date.today().isoformat()
     today = F.to_date(F.lit(day))
     listed = workspace.files(spark, root, o.include_untracked, o.exclude, o.path)
     if o.include_vendor:
         listed = listed.withColumn("skip", F.when(F.col("skip") != "vendor", F.col("skip")))
-    listed = listed.cache()
+    listed = scratch.written(listed, "listed")
     records = workspace.kept(listed, o.lang)
-    shapes = measure(spark, records, root, o.cache_dir, day).cache()
-    files = shapes.where("skip is null").join(records.select("rel", "test", "generated"), "rel").cache()
+    shapes = scratch.written(measure(spark, records, root, o.cache_dir, day), "shapes")
+    files = scratch.written(shapes.where("skip is null").join(records.select("rel", "test", "generated"), "rel"), "files")
 
-    raw = gitlog.read_log(spark, root, mode="lines" if o.lines else "names", all=o.all, since=o.since, until=o.until, max_count=o.max_commits, pathspec=o.path).cache()
+    raw = scratch.written(gitlog.read_log(spark, root, mode="lines" if o.lines else "names", all=o.all, since=o.since, until=o.until, max_count=o.max_commits, pathspec=o.path), "raw")
     commits, changes = history.prepare(raw)
-    per_file = history.file_history(changes)
+    per_file = scratch.written(history.file_history(changes), "per_file")
     present = records.select(F.col("rel").alias("path"))
-    matches = history.rename_matches(per_file, present)
+    matches = scratch.written(history.rename_matches(per_file, present), "matches")
     pairs, months = history.fold(history.file_author(changes), matches, "key"), history.fold(history.file_month(changes), matches, "bucket")
     folded = history.fold_history(per_file, matches)
     authors = history.author_activity(commits).join(history.line_churn(changes, "key"), "key", "left").join(history.distinct_files(pairs, "key"), "key", "left").fillna(0, ["adds", "dels", "files"])
@@ -95,11 +98,11 @@ def analyse(spark: SparkSession, root: str, options: Options | None = None) -> R
     line = rankings.timeline(by_month, today)
 
     imports = files.select(F.col("rel").alias("src"), F.explode("imports").alias("spec"))
-    resolved = graph.resolve_imports(imports, present).cache()
-    edges = graph.edges(resolved).cache()
-    cycles = graph.cycles(edges).cache()
+    resolved = scratch.written(graph.resolve_imports(imports, present), "resolved")
+    edges = scratch.written(graph.edges(resolved), "edges")
+    cycles = scratch.written(graph.cycles(edges), "cycles")
     externals = graph.externals(resolved)
-    declared = manifests.parse(workspace.contents(listed.where(F.col("rel").isin(list(manifests.MANIFESTS))).select("rel"), root)).cache()
+    declared = scratch.written(manifests.parse(workspace.contents(listed.where(F.col("rel").isin(list(manifests.MANIFESTS))).select("rel"), root)), "declared")
     kinds = [r[0] for r in declared.select("kind").distinct().collect()]  # at most one for each known kind
     n_manifests = declared.select("file").distinct().count()
     named = declared.where("name is not null")
@@ -107,13 +110,13 @@ def analyse(spark: SparkSession, root: str, options: Options | None = None) -> R
     undeclared = graph.undeclared(externals, named, kinds) if n_manifests else none
     unused = graph.unused(externals, named.where("not is_dev"), kinds) if n_manifests == 1 else none.select("name")
 
-    tested = coverage.tested(edges, files.select("rel", "test")).cache()
+    tested = scratch.written(coverage.tested(edges, files.select("rel", "test")), "tested")
     facts = files.select(
         "rel", "language", F.col("test").alias("is_test"), F.col("generated").alias("is_generated"), "code", "comment", "blank", "total", "decisions", "bytes", "depth", "complexity", "funcs", "suppressed",
         F.size("debt").alias("debt"), F.aggregate("debt", F.lit(0), lambda a, d: a + d["weight"]).alias("debt_weight"),
     )
     signals = scoring.signals(facts, folded, history.ownership(pairs), graph.fan_in(edges), graph.fan_out(edges), tested, cycles.select(F.col("node").alias("rel")), today)
-    scored = scoring.risk(signals).cache()
+    scored = scratch.written(scoring.risk(signals), "scored")
     covered = scored.select("rel", F.col("is_test").alias("test"), "is_tested", "code")
     hot = scoring.hotspots(scored, o.top)
     rankable = scored.where("rankable")
@@ -129,7 +132,7 @@ def analyse(spark: SparkSession, root: str, options: Options | None = None) -> R
     health = scoring.health(reduce(lambda a, b: a.crossJoin(F.broadcast(b)), sides, one))  # one row each
     summary = history.summary(commits, changes).crossJoin(F.broadcast(matches.agg(F.count("*").alias("folded")))).withColumn("renames", F.col("renames") + F.col("folded")).drop("folded")
     reason = next((r for r in ("since", "until", "max_commits", "path") if getattr(o, r)), None) or (None if o.all else "head only")
-    roll = text.language_rollup(facts.withColumn("test", F.col("is_test"))).cache()
+    roll = scratch.written(text.language_rollup(facts.withColumn("test", F.col("is_test"))), "roll")
     frames = {
         "history": summary.withColumns({"partial": F.lit(reason is not None), "partial_reason": F.lit(reason).cast("string")}),
         "skips": text.skip_histogram(listed),

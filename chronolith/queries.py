@@ -499,7 +499,8 @@ def cache_hit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rename_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = history.file_history(B.changes(spark, sf_dir, fine=True))
+    h = history.file_history(B.changes(spark, sf_dir, fine=True)).select("path", "born_commit", "first_seq", "commits", "adds", "dels")
+    h = scratch.written(h, "history")
     m = history.rename_matches(h, h.where("commits % 2 = 0").select("path"))
     return history.fold_history(h, m).where("inferred_from is not null").select("path", "inferred_from", "commits", "adds", "dels")
 

@@ -6,8 +6,10 @@ its subject ends at the first line feed or NUL, and NUL-ended tokens follow for
 
 from __future__ import annotations
 
+import codecs
 import re
 import subprocess
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -20,6 +22,8 @@ from ..schema import COMMIT
 
 # Framing of the log stream.
 RECORD, FIELD = "\x01", "\x02"
+#: A record's subject may hold the framing byte itself, so records begin where a hash follows, of at most 64 digits.
+_BEGIN, _REACH = re.compile(rf"(?<=[\0\n]){RECORD}(?=[0-9a-f]{{40,64}}{FIELD})"), 66
 FORMAT = f"{RECORD}%H{FIELD}%P{FIELD}%an{FIELD}%ae{FIELD}%ad{FIELD}%s"
 
 
@@ -62,22 +66,26 @@ class Parser:
 
     lines: bool = False
     seq: int = 0
-    rest: str = ""
-    pending: list[str] = field(default_factory=list)
+    begun: bool = False
+    held: list[str] = field(default_factory=list)
+    tail: str = "\n"  # one character that is read already, and what may be a cut begin
 
     def feed(self, chunk: str) -> Iterator[tuple]:
-        self.rest += chunk
-        # a record's subject may hold the framing byte itself, so records begin where a hash follows
-        starts = [m.start() for m in re.finditer(rf"(?:^|(?<=\0)|(?<=\n)){RECORD}(?=[0-9a-f]{{40,64}}{FIELD})", self.rest)]
-        for a, b in zip(starts, starts[1:]):
-            yield self.record(self.rest[a + 1 : b])
-        if starts:
-            self.rest = self.rest[starts[-1] :]
+        """The commits that end in the chunk; of one that goes on only its last characters are looked at again."""
+        text, at = self.tail + chunk, 1
+        for m in _BEGIN.finditer(text):
+            if self.begun:
+                yield self.record("".join([*self.held, text[at : m.start()]]))
+            self.held, self.begun, at = [], True, m.end()
+        keep = max(at, len(text) - _REACH)
+        if self.begun:
+            self.held.append(text[at:keep])
+        self.tail = text[keep - 1 :]
 
     def close(self) -> Iterator[tuple]:
-        if self.rest.startswith(RECORD):
-            yield self.record(self.rest[1:])
-        self.rest = ""
+        if self.begun:
+            yield self.record("".join([*self.held, self.tail[1:]]))
+        self.held, self.begun, self.tail = [], False, "\n"
 
     def record(self, text: str) -> tuple:
         h, parents, author, email, date, tail = text.split(FIELD, 5)
@@ -142,15 +150,26 @@ class GitLogReader(DataSourceReader):
     def read(self, shard: Shard) -> Iterator[tuple]:
         args = [*self.flags(), f"--skip={shard.skip}", *([f"--max-count={shard.count}"] if shard.count else [])]
         paths = ["--", self.o["pathspec"]] if "pathspec" in self.o else []
-        p = subprocess.Popen(["git", "-C", self.o["path"], *args, *paths], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
         parser = Parser(lines=self.o.get("mode") == "lines", seq=shard.skip)
-        import codecs
-
         decode = codecs.getincrementaldecoder("utf-8")("replace").decode
-        while chunk := p.stdout.read(1 << 16):
-            yield from parser.feed(decode(chunk))
+        with tempfile.TemporaryFile() as said:
+            p = subprocess.Popen(["git", "-C", self.o["path"], *args, *paths], stdout=subprocess.PIPE, stderr=said)
+            whole = False
+            try:
+                while chunk := p.stdout.read(1 << 16):
+                    yield from parser.feed(decode(chunk))
+                whole = True
+            finally:
+                if not whole:
+                    p.kill()
+                p.stdout.close()
+                status = p.wait()
+            said.seek(0)
+            message = said.read().decode("utf-8", "replace").strip()
+        # a log that broke off is no history
+        if status and "does not have any commits yet" not in message:
+            raise RuntimeError(f"git log ended with status {status}: {message}")
         yield from parser.close()
-        p.wait()
 
 
 class GitLog(DataSource):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="chronolith-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -27,3 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_made: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, sources: Iterable[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows as a written table, which is made once a session for the same files of its sources.
+
+    For relations that many queries begin with: the shuffle that makes them is paid once.  Files are
+    taken not to change under their names while the session lasts.
+    """
+    key = (spark.sparkContext.applicationId, name, *(f for s in sources for f in sorted(s.inputFiles())))
+    if key not in _made:
+        _made[key] = written(make(), name)
+    return _made[key]

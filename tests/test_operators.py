@@ -241,3 +241,28 @@ def test_health_of_nothing(spark):
     h = scoring.health(facts)
     assert {r["key"]: r.value for r in h.collect()} == {"maintainability": 100, "tests": 0, "ownership": 100, "debt": 100, "structure": 100, "focus": 100, "velocity": 0}
     assert tuple(scoring.index(h).first()) == (71, "C")
+
+
+@pytest.mark.parametrize("direct", [0, 10_000])
+def test_rename_matches_of_large_commits(spark, monkeypatch, direct):
+    monkeypatch.setattr(history, "DIRECT", direct)
+    r = random.Random(3)
+    names = ["a.py", "a.pyi", "ab.py", "b.js", "a", "index.js"]
+    paths = sorted({f"{r.choice('xyz')}{r.randint(0, 9)}/{r.choice(names)}" for _ in range(90)})
+    rows = [(p, f"c{r.randint(0, 2)}", i) for i, p in enumerate(paths)]
+    kept = {p for p in paths if p[0] == "x"}
+    got = {x.path: x.inferred_from for x in history.rename_matches(spark.createDataFrame(rows, "path string, born_commit string, first_seq long"), spark.createDataFrame([(p,) for p in kept], "path string")).collect()}
+
+    def score(a, b):
+        x, y = a.split("/")[-1], b.split("/")[-1]
+        ext = lambda s: s[s.rindex(".") :] if "." in s[1:] else ""
+        return (100 if x == y else 20 if x.startswith(y) or y.startswith(x) else 0) + 10 * (ext(x) == ext(y)) + 5 * (a.split("/")[0] == b.split("/")[0])
+
+    want, used = {}, set()
+    for new, commit, _ in rows:
+        if new in kept:
+            options = [(-score(old, new), seq, old) for old, c, seq in rows if old not in kept and c == commit and old not in used and score(old, new) >= 20]
+            if options:
+                want[new] = min(options)[2]
+                used.add(want[new])
+    assert got == want and len(want) > 5

@@ -193,3 +193,27 @@ def test_repository_without_commits(spark, tmp_path):
     run(tmp_path, "add", ".")
     d = report.to_json(report.analyse(spark, str(tmp_path), report.Options(today="2024-09-15")))
     assert d["history"]["commits"] == 0 and d["totals"]["files"] == 1 and d["ownership"]["busFactor"] == 0
+
+
+def test_failing_log_raises(spark, repo):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises((PySparkException, Exception), match="status"):
+        gitlog.read_log(spark, str(repo), since="2024-01-01", pathspec=":(nonsense)x").collect()
+    with pytest.raises(RuntimeError, match="git log ended"):
+        list(gitlog.GitLogReader({"path": str(repo) + "/missing"}).read(gitlog.Shard(0, 0)))
+
+
+def test_parser_does_not_look_at_a_commit_again():
+    seen = []
+
+
+    parser = gitlog.Parser()
+    head = f"{gitlog.RECORD}{'a' * 40}{gitlog.FIELD}{gitlog.FIELD}A{gitlog.FIELD}a@x{gitlog.FIELD}2024-01-01{gitlog.FIELD}s\0"
+    list(parser.feed(head))
+    for i in range(50):
+        list(parser.feed(f"path{i}\0" * 200))
+        seen.append(len(parser.tail))
+    assert max(seen) <= 70
+    (commit,) = parser.close()
+    assert len(commit[7]) == 50 * 200
