@@ -319,7 +319,11 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(BOTTOM * both >= TOP * (len(p) + len(q) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    # a document with many partners is there once for every BLOCK_DOCS of them
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("times"))
+    firsts = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")).join(many, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).drop("times")
+    dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("times")).cast("int")).drop("times")
+    full = dealt.join(firsts, ["a", "part"]).join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     fit = full.where(BOTTOM * F.least(F.octet_length("sa"), F.octet_length("sb")) >= TOP * F.greatest(F.octet_length("sa"), F.octet_length("sb")))
     return fit.select("a", "b", "sa", "sb").mapInArrow(go, "a long, b long")
 
