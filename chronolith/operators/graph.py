@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clean_spec, extension, external_name, join_path
@@ -187,6 +187,13 @@ def components(members: DataFrame, cluster_over: int = 8) -> DataFrame:
     return members.groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("members")).withColumn("size", F.size("members")).withColumn("kind", F.when(F.col("size") > cluster_over, "cluster").otherwise("cycle"))
 
 
+def cluster_core(members: DataFrame, fan_in_: DataFrame, k: int = 4) -> DataFrame:
+    """(component, node, fan_in, place): the k members of each component that most files import, equal ones by name."""
+    w = Window.partitionBy("component").orderBy(F.desc("fan_in"), "node")
+    ranked = members.join(fan_in_.select(F.col("rel").alias("node"), "fan_in"), "node").withColumn("place", F.row_number().over(w))
+    return ranked.where(F.col("place") <= k).select("component", "node", "fan_in", "place")
+
+
 def undeclared(externals_: DataFrame, manifest: DataFrame, kinds: Iterable[str]) -> DataFrame:
     """Externals that no manifest (name) declares and that are neither standard nor local names."""
     free = sorted({x for k in kinds if k in STDLIB_OF_KIND for x in STDLIB[STDLIB_OF_KIND[k]]} | set(LOCAL_NAMES))

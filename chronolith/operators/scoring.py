@@ -72,6 +72,13 @@ def hotspots(scored: DataFrame, k: int = 20) -> DataFrame:
     return scored.where("rankable").orderBy(F.desc("risk"), "rel").limit(k)
 
 
+def owner_label(files: DataFrame, authors: DataFrame) -> DataFrame:
+    """files (authors, last_author) with owner: the name of a single author (of authors: key, name), the number of several, `-` without any."""
+    named = files.join(authors.select(F.col("key").alias("last_author"), F.col("name").alias("owner_name")), "last_author", "left")
+    label = F.when(F.col("authors") <= 0, "-").when(F.col("authors") == 1, F.coalesce("owner_name", F.lit("unknown"))).otherwise(F.concat(F.col("authors").cast("string"), F.lit(" people")))
+    return named.withColumn("owner", label).drop("owner_name")
+
+
 def health(facts: DataFrame) -> DataFrame:
     """(key, value) of the seven components and the index, from one row of facts.
 

@@ -261,6 +261,10 @@ SELECT dir, source, tests, covered FROM b UNION ALL SELECT dir, source, tests, c
     "scc_members": f"WITH RECURSIVE {_EVENTS} SELECT component, node FROM mutual",
     "cycle_vs_cluster": f"""WITH RECURSIVE {_EVENTS} SELECT component, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members, count(*) AS size,
 CASE WHEN count(*) > 8 THEN 'cluster' ELSE 'cycle' END AS kind FROM mutual GROUP BY component""",
+    "cluster_core": f"""WITH RECURSIVE {_EVENTS}, fi AS (SELECT dst, count(*) AS n FROM every GROUP BY dst)
+SELECT component, node, n AS fan_in, CAST(row_number() OVER (PARTITION BY component ORDER BY n DESC, node) AS INTEGER) AS place FROM mutual JOIN fi ON dst = node QUALIFY place <= 4""",
+    "owner_labels": f"""WITH RECURSIVE {_SIGNALS}, la AS (SELECT path, arg_max(name, (day, seq)) AS name FROM f GROUP BY path)
+SELECT rel, CASE WHEN authors = 0 THEN '-' WHEN authors = 1 THEN name ELSE authors || ' people' END AS owner FROM sig LEFT JOIN la ON path = rel""",
     "resolve_first_match": f"WITH {_RESOLVED} SELECT src, spec, target FROM rs",
     "externals_top": f"WITH {_RESOLVED} SELECT * FROM ex ORDER BY importers DESC, name LIMIT 15",
     "undeclared": f"WITH {_RESOLVED} SELECT * FROM ex WHERE lower(name) NOT IN (SELECT lower(name) FROM mf) AND lower(name) NOT IN ({_free('local')})",

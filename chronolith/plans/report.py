@@ -118,7 +118,7 @@ def analyse(spark: SparkSession, root: str, options: Options | None = None) -> R
     signals = scoring.signals(facts, folded, history.ownership(pairs), graph.fan_in(edges), graph.fan_out(edges), tested, cycles.select(F.col("node").alias("rel")), today)
     scored = scratch.written(scoring.risk(signals), "scored")
     covered = scored.select("rel", F.col("is_test").alias("test"), "is_tested", "code")
-    hot = scoring.hotspots(scored, o.top)
+    hot = scoring.owner_label(scoring.hotspots(scored, o.top), authors).orderBy(F.desc("risk"), "rel")
     rankable = scored.where("rankable")
     markers = files.select("rel", F.inline("debt"))
     one = scored.agg(F.count("*").alias("files"), F.coalesce(F.sum("debt"), F.lit(0)).alias("debt"), F.coalesce(F.sum("code"), F.lit(0)).alias("code"), F.count_if("in_cycle").alias("cyclic_files"))
@@ -147,6 +147,7 @@ def analyse(spark: SparkSession, root: str, options: Options | None = None) -> R
         "timeline": line.orderBy("ord"),
         "edges": edges,
         "cycles": graph.components(cycles).orderBy("size", "component"),
+        "cluster_core": graph.cluster_core(cycles, graph.fan_in(edges)).orderBy("component", "place"),
         "externals": externals.orderBy(F.desc("importers"), "name").limit(15),
         "undeclared": undeclared.orderBy(F.desc("importers"), "name") if n_manifests else undeclared,
         "unused": unused,
@@ -175,10 +176,13 @@ def to_json(report: Report) -> dict[str, Any]:
     timeline = _rows(f["timeline"])
     hot = f["hotspots"].select(
         F.col("rel").alias("path"), F.floor(F.col("risk") + 0.5).alias("risk"), "commits", "complexity", F.round("per_function", 2).alias("perFunction"), "depth", F.greatest(F.lit(1), "funcs").alias("functions"),
-        "code", "debt", "authors", F.col("fan_in").alias("fanIn"), F.col("fan_out").alias("fanOut"), F.col("is_tested").alias("tested"), F.col("in_cycle").alias("inCycle"),
+        "code", "debt", "authors", "owner", F.col("fan_in").alias("fanIn"), F.col("fan_out").alias("fanOut"), F.col("is_tested").alias("tested"), F.col("in_cycle").alias("inCycle"),
         F.transform("reasons", lambda r: F.struct(r["key"].alias("key"), F.round(r["contribution"], 1).alias("points"))).alias("reasons"),
     )
     cycles = [r["members"] for r in _rows(f["cycles"])]
+    core: dict[str, list[dict[str, Any]]] = {}
+    for r in _rows(f["cluster_core"]):  # at most four rows a cycle
+        core.setdefault(r["component"], []).append({"path": r["node"], "fanIn": r["fan_in"]})
     debt = _rows(f["debt"])
     return {
         "meta": report.meta,
@@ -189,7 +193,7 @@ def to_json(report: Report) -> dict[str, Any]:
         "tests": {**one["tests"], "byDirectory": _rows(f["directories"])},
         "debt": {"byType": debt, "total": sum(d["count"] for d in debt), "oldest": next(iter(_rows(f["oldest_debt"])), None), "suppressed": one["totals"].get("suppressed", 0)},
         "ownership": {"busFactor": one["bus_factor"].get("bus_factor", 0), "total": f["authors"].count(), "authors": _rows(f["authors"]), "singleOwnerCount": f["single_owner"].count()},
-        "structure": {"cycles": cycles, "cycleFileCount": sum(map(len, cycles)), "undeclared": _rows(f["undeclared"]), "unused": [r["name"] for r in _rows(f["unused"])], "externals": _rows(f["externals"])},
+        "structure": {"cycles": cycles, "cycleFileCount": sum(map(len, cycles)), "core": core, "undeclared": _rows(f["undeclared"]), "unused": [r["name"] for r in _rows(f["unused"])], "externals": _rows(f["externals"])},
         "timeline": {"months": timeline, "max": max((m["commits"] for m in timeline), default=0)},
         "hotspots": _rows(hot),
     }
@@ -205,12 +209,12 @@ def render(doc: dict[str, Any], sections: Sequence[str] = SECTIONS, limit: int =
         "health": [f"Health {doc['health'].get('value', 0)} ({doc['health'].get('grade', 'E')})", *(f"  {c['key']:<16}{c['value']:>4}" for c in doc["health"]["components"])],
         "activity": ["Activity  " + "".join(bars[min(7, m["commits"] * 7 // top)] for m in doc["timeline"]["months"])],
         "glance": ["Languages", *(f"  {x['language'] or 'Other':<14}{x['files']:>6} files {x['code']:>8} lines" for x in doc["languages"])],
-        "hotspots": ["Hot files", *(f"  {x['risk']:>3}  {x['path']}  " + ", ".join(f"{r['key']} {r['points']}" for r in x["reasons"]) for x in doc["hotspots"][:limit])],
+        "hotspots": ["Hot files", *(f"  {x['risk']:>3}  {x['path']}  {x['owner']}  " + ", ".join(f"{r['key']} {r['points']}" for r in x["reasons"]) for x in doc["hotspots"][:limit])],
         "ownership": [f"Bus factor {doc['ownership']['busFactor']}, {doc['ownership']['singleOwnerCount']} files of one owner", *(f"  {a['name']:<24}{a['commits']:>6}  {a['label']}" for a in doc["ownership"]["authors"][:15])],
         "structure": [
             f"{len(s['cycles'])} cycles over {s['cycleFileCount']} files",
             *("  " + " -> ".join(c) for c in [c for c in s["cycles"] if len(c) <= 8][:4]),
-            *(f"  cluster of {len(c)}: {', '.join(c[:4])} ..." for c in [c for c in s["cycles"] if len(c) > 8][:2]),
+            *(f"  cluster of {len(c)}, most imported: {', '.join(x['path'] for x in s['core'].get(min(c), []))}" for c in [c for c in s["cycles"] if len(c) > 8][:2]),
             *(f"  undeclared {x['name']} ({x['importers']})" for x in s["undeclared"][:8]),
             *(f"  unused {n}" for n in s["unused"][:8]),
         ],

@@ -365,6 +365,17 @@ def cycle_vs_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(graph.cycles(B.event_edges(spark, sf_dir))).select("component", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), F.col("size").cast("long").alias("size"), "kind")
 
 
+@query
+def cluster_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.event_edges(spark, sf_dir)
+    return graph.cluster_core(graph.cycles(e), graph.fan_in(e))
+
+
+@query
+def owner_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.owner_label(B.signals(spark, sf_dir), _authors(spark, sf_dir)).select("rel", "owner")
+
+
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = text.import_specs(B.table(spark, sf_dir, "pages"), "page_id", "html", HREF)
     known = specs.where(F.length("spec") <= 4).select(F.col("spec").alias("path")).distinct()
